@@ -86,7 +86,7 @@ with sizes as (
 ), totals as (
   select source, sum(size)::bigint as source_size from sizes group by source
 ), ranked as (
-  select *, [5.0, 2.0, 1.0]::double[][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight, source_size * 3.0::double as cap
+  select *, (cast([5.0, 2.0, 1.0] as double[]))[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight, source_size * 3.0::double as cap
   from totals
 ), levels as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0))::double
@@ -100,7 +100,7 @@ with sizes as (
   select source, h, sum(sum(size)) over (partition by source order by h) as upto, sum(size) as words from sizes group by source, h
 ), chosen as (
   select c.source, arg_min({'h': c.h, 'below': (c.upto - c.words)::double, 'upto': c.upto::double, 'budget': b.target - b.copies * b.source_size},
-    case when c.upto > b.target - b.copies * b.source_size then c.h else 100000000000 - c.h end) as x
+    case when c.upto > b.target - b.copies * b.source_size then c.h else 1000000000000 - c.h end) as x
   from cells c join budgets b on c.source is not distinct from b.source group by c.source
 ), limits as (
   select source, x.h + case when abs(x.upto - x.budget) < abs(x.budget - x.below) then 1 else 0 end as threshold from chosen
