@@ -172,11 +172,24 @@ def cover(starts: np.ndarray, n: int, total: int) -> np.ndarray:
 
 def repeated(keys: np.ndarray) -> np.ndarray:
     """True where a value occurs at least twice."""
+    return member(keys, sorted_distinct(keys)[1])
+
+
+def sorted_distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, ascending, and those that occur at least twice, ascending."""
     ordered = np.sort(keys)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(twice):
-        return np.zeros(len(keys), dtype=bool)
-    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
+    same = ordered[1:] == ordered[:-1]
+    twice = ordered[1:][same]
+    first = np.ones(len(twice), dtype=bool)
+    first[1:] = twice[1:] != twice[:-1]
+    return np.concatenate([ordered[:1], ordered[1:][~same]]), twice[first]
+
+
+def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in the ascending ``among``."""
+    if not len(among):
+        return np.zeros(len(values), dtype=bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
 def distinct_per_doc(docs: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:

@@ -31,11 +31,10 @@ from siftworks.shared import materialize, shuffle_partitions
 
 WINDOW = 13
 #: Shards of documents for each shuffle partition.
-SHARDS_PER_PARTITION = 4
-#: Phrases in one automaton: about 60 bytes for each of their words.
-AUTOMATON_PHRASES = 60_000
+SHARDS_PER_PARTITION = 2
+#: Phrases in one automaton: about 120 bytes for each of their words.
+AUTOMATON_PHRASES = 80_000
 HASH_BITS = 40
-RANGES = 64
 _BASE2 = np.uint64(0xD1342543DE82EF95)
 _NULL_ID = np.iinfo(np.int64).min
 
@@ -67,10 +66,10 @@ class Shard:
     def short(self) -> tuple[np.ndarray, np.ndarray]:
         """The different 40-bit window hashes, ascending, and which occur in two documents of this shard."""
         keys = self.window >> np.uint64(64 - HASH_BITS)
-        unique = np.unique(keys)
+        unique, twice = bs.sorted_distinct(keys)
         several = np.zeros(len(unique), dtype=bool)
-        again = bs.repeated(keys)
-        if again.any():
+        if len(twice):
+            again = bs.member(keys, twice)
             k, d = keys[again], self.ids[self.doc_of(self.at[again])]
             order = np.lexsort((d, k))
             k, d = k[order], d[order]
@@ -82,7 +81,7 @@ class Shard:
         """Of the windows with a candidate's 40-bit hash: each different one's two 64-bit digests (ascending), the smallest
         document id, and the word at which it begins there."""
         keys = self.window >> np.uint64(64 - HASH_BITS)
-        hit = np.isin(keys, candidates)
+        hit = bs.member(keys, candidates)
         at, one = self.at[hit], self.window[hit]
         two = bs.window_hashes(bs.mix64(self.words + np.uint64(1)), self.n, _BASE2)[at] if len(at) else one
         ids = self.ids[self.doc_of(at)]
@@ -118,36 +117,29 @@ def _unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-def _ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(range, start, end) of ascending ``bits``-bit values by their leading bits."""
-    tops = np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(bits - 6)
-    cuts = np.searchsorted(keys, tops[:-1])
-    for r, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
+def _split(keys: np.ndarray, bits: int, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(range, start, end) of ascending ``bits``-bit values, by ``ranges`` equal ranges of values."""
+    of = ((keys >> np.uint64(bits - 26)) * np.uint64(ranges)) >> np.uint64(26)
+    cuts = np.flatnonzero(np.diff(of)) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
         if e > s:
-            yield r, int(s), int(e)
+            yield int(of[s]), s, e
 
 
 def _shared_between(lists: list[np.ndarray]) -> np.ndarray:
     """Values that at least two of the lists hold (each list has a value once)."""
-    ordered = np.sort(np.concatenate(lists))
-    return np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    return bs.sorted_distinct(np.concatenate(lists))[1]
 
 
-_BITS = "shard int, range int, fine int, bits binary"
+_BITS = "shard int, range int, bits binary"
 
 
 def _answer_short(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """For one range of 40-bit hashes: per shard a bit map of those that another shard has too."""
     lists = [_unpack_sorted(b) for b in table["keys"].to_pylist()]
     shared = _shared_between(lists)
-    bits = [np.packbits(_member(x, shared)).tobytes() for x in lists]
-    return pa.table({"shard": table["shard"], "range": table["range"], "fine": table["fine"], "bits": pa.array(bits, pa.binary())})
-
-
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), dtype=bool)
-    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+    bits = [np.packbits(bs.member(x, shared)).tobytes() for x in lists]
+    return pa.table({"shard": table["shard"], "range": table["range"], "bits": pa.array(bits, pa.binary())})
 
 
 def _answer_long(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -162,13 +154,13 @@ def _answer_long(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     smaller[order] = ids > ids[first][np.cumsum(first) - 1]
     cuts = np.cumsum([len(p) for p in parts])[:-1]
     bits = [np.packbits(x).tobytes() for x in np.split(smaller, cuts)]
-    return pa.table({"shard": table["shard"], "range": table["range"], "fine": table["fine"], "bits": pa.array(bits, pa.binary())})
+    return pa.table({"shard": table["shard"], "range": table["range"], "bits": pa.array(bits, pa.binary())})
 
 
-def _read_bits(answers: pa.Table, sizes: dict[tuple[int, int], tuple[int, int]], total: int) -> np.ndarray:
+def _read_bits(answers: pa.Table, sizes: dict[int, tuple[int, int]], total: int) -> np.ndarray:
     flags = np.zeros(total, dtype=bool)
-    for r, f, b in zip(answers["range"].to_pylist(), answers["fine"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-        s, e = sizes[r, f]
+    for r, b in zip(answers["range"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+        s, e = sizes[r]
         flags[s:e] = np.unpackbits(np.frombuffer(b, np.uint8), count=e - s).astype(bool)
     return flags
 
@@ -181,21 +173,26 @@ def locate(words: np.ndarray, word_off: np.ndarray, ids: np.ndarray, starts: np.
     covered = np.zeros(len(words), dtype=bool)
     if not len(starts):
         return covered
-    inner = np.unique((starts[:, None] + np.arange(n)).ravel())
-    vocabulary = np.unique(words[inner])
-    where = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    numbers = np.where(vocabulary[where] == words, where + 1, 0)  # 0: in no phrase
+    inner = np.unique(words[(starts[:, None] + np.arange(n)).ravel()])
+    where = np.minimum(np.searchsorted(inner, words), len(inner) - 1)
+    numbers = np.where(inner[where] == words, where + 1, 0)  # 0: in no phrase
+    # a state's followers are searched one by one, so a word is two symbols of an alphabet of twice the root's size
+    side = int(len(inner) ** 0.5) + 1
+    symbols = np.column_stack([numbers // side, numbers % side + len(inner)]).ravel()
     for at in range(0, len(starts), AUTOMATON_PHRASES):
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k in range(at, min(at + AUTOMATON_PHRASES, len(starts))):
-            machine.add_word(tuple(numbers[starts[k] : starts[k] + n].tolist()), k)
+        some = starts[at : at + AUTOMATON_PHRASES]
+        keys = symbols[2 * some[:, None] + np.arange(2 * n)]
+        for k, key in enumerate(map(tuple, keys.tolist()), at):
+            machine.add_word(key, k)
+        del keys
         machine.make_automaton()
         for d in range(len(ids)):
             s, e = int(word_off[d]), int(word_off[d + 1])
             if e - s < n:
                 continue
-            hits = np.array(list(machine.iter(tuple(numbers[s:e].tolist()))), dtype=np.int64).reshape(-1, 2)
-            last = hits[limits[hits[:, 1]] < ids[d], 0]
+            hits = np.array(list(machine.iter(tuple(symbols[2 * s : 2 * e].tolist()))), dtype=np.int64).reshape(-1, 2)
+            last = hits[limits[hits[:, 1]] < ids[d], 0] // 2
             covered[s:e] |= bs.cover(last - n + 1, n, e - s)
     return covered
 
@@ -203,49 +200,39 @@ def locate(words: np.ndarray, word_off: np.ndarray, ids: np.ndarray, starts: np.
 def remove_repeated_phrases(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row of SCHEMA, with kept_text, per row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    shards = SHARDS_PER_PARTITION * shuffle_partitions(spark)
-    fine_ranges = max(1, shards // RANGES)
+    ranges = shuffle_partitions(spark)
+    shards = SHARDS_PER_PARTITION * ranges
     # the text moves once; the three steps below read the same exchange
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     )
     dealt = dealt.repartition("shard")
 
-    def split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int, int]]:
-        """(range, finer range, start, end): enough ranges for one reducer each shuffle partition."""
-        for r, s, e in _ranges(keys, bits):
-            low = (keys[s:e] >> np.uint64(bits - 26)) & np.uint64((1 << 20) - 1)
-            fine = (low * np.uint64(fine_ranges)) >> np.uint64(20)
-            cuts = np.searchsorted(fine, np.arange(fine_ranges))
-            for f, (a, b) in enumerate(zip(cuts, [*cuts[1:], e - s], strict=True)):
-                if b > a:
-                    yield r, f, s + int(a), s + int(b)
-
     def list_short(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         unique, _ = Shard(table, n).short()
-        rows = [(key[0].as_py(), r, f, _pack_sorted(unique[s:e])) for r, f, s, e in split(unique, HASH_BITS)]
+        rows = [(key[0].as_py(), r, _pack_sorted(unique[s:e])) for r, s, e in _split(unique, HASH_BITS, ranges)]
         return _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.Table:
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("shard", "range", "fine", "keys"), columns, types, strict=True)})
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        types = (pa.int32(), pa.int32(), pa.binary())
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("shard", "range", "keys"), columns, types, strict=True)})
 
     def confirmed(shard: Shard, answers: pa.Table) -> tuple:
         unique, several = shard.short()
-        seen = _read_bits(answers, {(r, f): (s, e) for r, f, s, e in split(unique, HASH_BITS)}, len(unique))
+        seen = _read_bits(answers, {r: (s, e) for r, s, e in _split(unique, HASH_BITS, ranges)}, len(unique))
         return shard.long(unique[seen | several])
 
     def list_long(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         one, two, ids, _ = confirmed(Shard(table, n), answers)
         packed = np.rec.fromarrays([one, two, ids], dtype=[("one", "<u8"), ("two", "<u8"), ("id", "<i8")])
-        return _rows([(key[0].as_py(), r, f, packed[s:e].tobytes()) for r, f, s, e in split(one, 64)])
+        return _rows([(key[0].as_py(), r, packed[s:e].tobytes()) for r, s, e in _split(one, 64, ranges)])
 
     def remove(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         shard = Shard(table, n)
         step = answers["step"].to_numpy()
         one, _, ids, at = confirmed(shard, answers.filter(pa.array(step == 1)))
-        elsewhere = _read_bits(answers.filter(pa.array(step == 2)), {(r, f): (s, e) for r, f, s, e in split(one, 64)}, len(one))
+        elsewhere = _read_bits(answers.filter(pa.array(step == 2)), {r: (s, e) for r, s, e in _split(one, 64, ranges)}, len(one))
         # a phrase goes from documents above its limit: all, if a smaller document elsewhere has it
         use = elsewhere | shard.several
         limits = np.where(elsewhere, _NULL_ID, ids)[use]
@@ -270,11 +257,11 @@ def remove_repeated_phrases(docs: DataFrame, n: int = WINDOW) -> DataFrame:
             }
         )
 
-    keys = "shard int, range int, fine int, keys binary"
+    keys = "shard int, range int, keys binary"
     by_shard = dealt.groupBy("shard")
     short = by_shard.applyInArrow(list_short, keys)
-    found = materialize(short.groupBy("range", "fine").applyInArrow(_answer_short, _BITS), "phrases-short")
+    found = materialize(short.groupBy("range").applyInArrow(_answer_short, _BITS), "phrases-short")
     long = by_shard.cogroup(found.groupBy("shard")).applyInArrow(list_long, keys)
-    owned = long.groupBy("range", "fine").applyInArrow(_answer_long, _BITS)
+    owned = long.groupBy("range").applyInArrow(_answer_long, _BITS)
     answers = found.withColumn("step", F.lit(1)).unionByName(owned.withColumn("step", F.lit(2)))
     return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(remove, f"{SCHEMA}, kept_text string")
