@@ -60,7 +60,7 @@ def fingerprint_columns(rows: DataFrame, keys: list[str], arrays: list[str]) ->
     dense = [f"d{i}" for i in range(DENSE)]
     by_slot = exploded.groupBy(*keys, "which", "slot").agg(F.count_if("real").alias("n"), F.sum("small").alias("small"), *[F.sum(d).alias(d) for d in dense])
     of = lambda i, c: F.coalesce(F.sum(F.when(F.col("which") == i, F.col(c))), F.lit(0))
-    cells = F.collect_list(F.when(F.col("slot").isNotNull(), F.struct((F.col("which") * LEVELS * LANES + F.col("slot")).alias("k"), (F.col("small") % 256).alias("v"))))
+    cells = F.collect_list(F.when(F.col("which").isNotNull(), F.struct((F.col("which") * LEVELS * LANES + F.col("slot")).alias("k"), (F.col("small") % 256).alias("v"))))
     sums = by_slot.groupBy(*keys).agg(
         F.map_from_entries(cells).alias("cells"),
         *[F.struct(of(i, "n").alias("n"), F.array(*[of(i, d) % (1 << 32) for d in dense]).alias("dense")).alias(f"s{i}") for i in range(len(arrays))],
