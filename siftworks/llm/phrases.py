@@ -167,7 +167,7 @@ def _read_bits(answers: pa.Table, sizes: dict[int, tuple[int, int]], total: int)
 
 def locate(words: np.ndarray, word_off: np.ndarray, ids: np.ndarray, starts: np.ndarray, limits: np.ndarray, n: int) -> np.ndarray:
     """Which words are covered by a phrase: ``starts`` are words at which phrases of n words begin, and a phrase counts in
-    documents with an id above its limit. Every document is streamed through each automaton."""
+    documents with an id above its limit. All documents are streamed through each automaton."""
     import ahocorasick
 
     covered = np.zeros(len(words), dtype=bool)
@@ -179,6 +179,16 @@ def locate(words: np.ndarray, word_off: np.ndarray, ids: np.ndarray, starts: np.
     # a state's followers are searched one by one, so a word is two symbols of an alphabet of twice the root's size
     side = int(len(inner) ** 0.5) + 1
     symbols = np.column_stack([numbers // side, numbers % side + len(inner)]).ravel()
+    # a word in no phrase sends an automaton back to its root: stretches between such words that are too short are passed over
+    known = np.concatenate([[0], np.cumsum(numbers > 0)])
+    at = bs.window_starts(word_off, n)
+    near = bs.cover(at[known[at + n] - known[at] == n], n, len(words))
+    edges = np.zeros(len(words) + 1, dtype=bool)
+    edges[word_off] = True
+    turns = np.diff(near.astype(np.int8), prepend=0, append=0) != 0
+    cuts = np.flatnonzero(turns | edges)
+    begins, stops = cuts[:-1][near[cuts[:-1]]], cuts[1:][near[cuts[:-1]]]
+    owners = ids[np.searchsorted(word_off, begins, "right") - 1]
     for at in range(0, len(starts), AUTOMATON_PHRASES):
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         some = starts[at : at + AUTOMATON_PHRASES]
@@ -187,13 +197,11 @@ def locate(words: np.ndarray, word_off: np.ndarray, ids: np.ndarray, starts: np.
             machine.add_word(key, k)
         del keys
         machine.make_automaton()
-        for d in range(len(ids)):
-            s, e = int(word_off[d]), int(word_off[d + 1])
-            if e - s < n:
-                continue
+        for s, e, owner in zip(begins.tolist(), stops.tolist(), owners.tolist(), strict=True):
             hits = np.array(list(machine.iter(tuple(symbols[2 * s : 2 * e].tolist()))), dtype=np.int64).reshape(-1, 2)
-            last = hits[limits[hits[:, 1]] < ids[d], 0] // 2
-            covered[s:e] |= bs.cover(last - n + 1, n, e - s)
+            if len(hits):
+                last = hits[limits[hits[:, 1]] < owner, 0] // 2
+                covered[s:e] |= bs.cover(last - n + 1, n, e - s)
     return covered
 
 
