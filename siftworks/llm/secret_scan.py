@@ -112,8 +112,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> MarkovPair:
                     values += found
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
-    sample = docs.filter("text is not null").select("doc_id", "text").withColumn("order", F.xxhash64("doc_id"))
-    picked = sample.orderBy("order", "doc_id", "text").limit(sample_rows).select("doc_id", "text")
+    # ids first, so that no text is sorted; one text per id
+    usable = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
+    picked = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     got = picked.mapInArrow(label, "kind string, value string").groupBy("kind", "value").count()
     rows = got.orderBy("kind", "value").toArrow().to_pydict()
     by_kind = {k: [v for kk, v in zip(rows["kind"], rows["value"], strict=True) if kk == k] for k in ("random", "ordinary")}
