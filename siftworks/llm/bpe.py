@@ -7,7 +7,7 @@ vocabulary and concatenates their bytes in an ordered aggregation. Different pie
 (a bounded cache), so the queries see few rows; texts are streamed and nothing is shuffled.
 
 Edge cases: a null text counts as empty (no tokens); repeated rows are encoded one by one; pieces of any length work,
-those over ``LONG_PIECE`` bytes by a keyed recursion that holds one state per position instead of one per step.
+those over ``LONG_PIECE`` bytes by a keyed recursion that holds one row per position instead of one per step.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from siftworks.llm import bytescan as bs
 
 LONG_PIECE = 128
+#: Bytes of long pieces that take their steps together.
+LONG_BYTES = 1 << 16
 CACHE_PIECES = 1_200_000
 #: Bytes of text whose pieces are encoded by one query.
 QUERY_BYTES = 12 << 20
@@ -56,35 +58,27 @@ with recursive state(w, pos, tok, live) as (
 select w, tok from state where not live order by w, pos
 """
 
-# One row per position, replaced in place: pos, its token (null once merged away), its neighbours' positions.
+# One row per position, replaced in place: its token, null once merged away. A step contracts all pairs of a piece's minimum
+# rank from left to right (every second one where they overlap), or the leftmost alone if its token begins or ends one of
+# smaller rank: only then could the pairs that arise come before the others.
 _KEYED = """
-with recursive state(w, pos, tok, before, after, merged) using key (w, pos) as (
-    select p.w, p.pos, p.tok, p.pos - 1, case when p.following is null then null else p.pos + 1 end, m.merged
-    from (select *, lead(tok) over (partition by w order by pos) as following from pieces) p
-    left join merges m on p.tok = m.lhs and p.following = m.rhs
+with recursive state(w, pos, tok) using key (w, pos) as (
+    select w, pos, tok from pieces
   union
-    (with best as (
-        select w, min(merged::bigint * 134217728 + pos) as choice from recurring.state
-        where merged is not null group by w),
-     spot as (
-        select b.w, (b.choice % 134217728)::int as pos, (b.choice // 134217728)::int as tok, s.before, s.after as gone
-        from best b join recurring.state s on s.w = b.w and s.pos = b.choice % 134217728),
-     wide as (
-        select s.*, g.after as next_pos, n.tok as next_tok, n.after as next_after, n.merged as next_merged, l.tok as left_tok, l.before as left_before
-        from spot s
-        join recurring.state g on g.w = s.w and g.pos = s.gone
-        left join recurring.state n on n.w = s.w and n.pos = g.after
-        left join recurring.state l on l.w = s.w and l.pos = s.before),
-     changed as (
-        select w, pos, tok, before, next_pos as after, next_tok as following from wide
-        union all
-        select w, before, left_tok, left_before, pos, tok from wide where left_tok is not null
-        union all
-        select w, gone, null, null, null, null from wide)
-     select c.w, c.pos, c.tok, c.before, c.after, m.merged
-     from changed c left join merges m on c.tok = m.lhs and c.following = m.rhs
-     union all
-     select w, next_pos, next_tok, pos, next_after, next_merged from wide where next_tok is not null)
+    (with pairs as (
+        select w, pos, tok, lead(tok) over o as following, lead(pos) over o as after
+        from recurring.state where tok is not null window o as (partition by w order by pos)),
+     ranked as (
+        select p.w, p.pos, p.after, m.merged, m.alone, min(m.merged) over (partition by p.w) as least
+        from pairs p join near_merges m on p.tok = m.lhs and p.following = m.rhs),
+     spots as (
+        select w, pos, after, merged, alone, row_number() over o as k, lag(after) over o as reach
+        from ranked where merged = least window o as (partition by w order by pos)),
+     runs as (
+        select *, k - max(case when reach is null or reach <> pos then k end) over (partition by w order by pos) as step
+        from spots),
+     chosen as (select * from runs where step % 2 = 0 and (k = 1 or not alone))
+     select w, pos, merged from chosen union all select w, after, null::int from chosen)
 )
 select w, tok from state where tok is not null order by w, pos
 """
@@ -121,9 +115,14 @@ class Codec:
             for i in range(1, len(token))
             if token[:i] in ranks and token[i:] in ranks
         ]
-        lhs, rhs, merged = np.array(merges or [(0, 0, 0)][:0], dtype=np.int32).reshape(-1, 3).T
+        lhs, rhs, merged = np.array(merges, dtype=np.int32).reshape(-1, 3).T
+        sooner = np.union1d(lhs[merged < lhs], rhs[merged < rhs])
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        self._table("merges", lhs=lhs, rhs=rhs, merged=merged)
+        self._table("merges", lhs=lhs, rhs=rhs, merged=merged, alone=np.isin(merged, sooner))
+        self.longest = max(map(len, ranks))
+        # pairs of bytes that some token holds side by side; between others no merge can happen
+        self.joined = np.zeros(1 << 16, dtype=bool)
+        self.joined[[t[i] << 8 | t[i + 1] for t in ranks for i in range(len(t) - 1)]] = True
         tokens = sorted(ranks.items(), key=lambda x: x[1])
         self._table("vocabulary", tok=np.array([r for _, r in tokens], np.int32), hex=pa.array([t.hex() for t, _ in tokens]))
 
@@ -142,22 +141,42 @@ class Codec:
         w, ids = got["w"].to_numpy(), got["tok"].to_numpy()
         return np.split(ids, np.flatnonzero(np.diff(w)) + 1)
 
+    def _segments(self, piece: bytes) -> list[bytes]:
+        """A piece cut where no merge can happen."""
+        data = np.frombuffer(piece, np.uint8).astype(np.int32)
+        cuts = np.flatnonzero(~self.joined[data[:-1] << 8 | data[1:]]) + 1
+        return [piece[s:e] for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)], strict=True)]
+
+    def _near_merges(self, pieces: list[bytes]) -> None:
+        """The merges whose token occurs in one of the pieces, as a small table to join with."""
+        sizes = range(2, self.longest + 1)
+        inside = {self.ranks.get(p[i : i + n], -1) for p in pieces for n in sizes for i in range(len(p) - n + 1)}
+        self._table("inside", merged=np.array(sorted(inside), np.int32))
+        self.db.execute("create or replace table near_merges as select * from merges semi join inside using (merged)")
+
+    def _encode_long(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        out, batch, size = {}, [], 0
+        for k, piece in enumerate(pieces):
+            batch.append(piece)
+            size += len(piece)
+            if size >= LONG_BYTES or k == len(pieces) - 1:
+                self._near_merges(batch)
+                out |= {p: ids.astype("<u4").tobytes() for p, ids in zip(batch, self._recur(batch, _KEYED), strict=True)}
+                batch, size = [], 0
+        return out
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece (none empty) as little-endian unsigned 32-bit integers."""
         raw = [p.encode() for p in pieces]
-        out: list[bytes | None] = [None] * len(raw)
-        short, long = [], []
-        for i, b in enumerate(raw):
-            rank = self.ranks.get(b)
-            if rank is not None:
-                out[i] = rank.to_bytes(4, "little")
-            else:
-                (short if len(b) <= LONG_PIECE else long).append(i)
-        jobs = [(short[at : at + 65536], _STEP) for at in range(0, len(short), 65536)] + [([i], _KEYED) for i in long]
-        for indexes, query in jobs:
-            for i, ids in zip(indexes, self._recur([raw[i] for i in indexes], query), strict=True):
-                out[i] = ids.astype("<u4").tobytes()
-        return out
+        parts = {b: self._segments(b) for b in raw if len(b) > LONG_PIECE and b not in self.ranks}
+        todo = sorted({x for b in raw for x in parts.get(b, (b,))}, key=lambda x: (len(x), x))
+        done = {x: self.ranks[x].to_bytes(4, "little") for x in todo if x in self.ranks}
+        short = [x for x in todo if x not in done and len(x) <= LONG_PIECE]
+        for at in range(0, len(short), 65536):
+            some = short[at : at + 65536]
+            done |= {x: ids.astype("<u4").tobytes() for x, ids in zip(some, self._recur(some, _STEP), strict=True)}
+        done |= self._encode_long([x for x in todo if x not in done])
+        return [b"".join([done[x] for x in parts[b]]) if b in parts else done[b] for b in raw]
 
     def decode_pieces(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes that each sequence of ids (none empty) stands for."""

@@ -118,6 +118,8 @@ def test_bpe_odd_pieces(tik):
     rng = np.random.default_rng(3)
     alphabet = list("ab  \n\t\x1c\x85 　'sldvert019²Ⅷ一é_-.,!\U0001f600\x00")
     texts = ["".join(rng.choice(alphabet, rng.integers(0, 50))) for _ in range(300)] + ["a" * 400, "=" * 300 + " " * 200, "".join(rng.choice(list("etaoin"), 500))]
+    texts += ["ab" * 400 + "b", "".join(rng.choice(list("ab"), 700)), "".join(rng.choice(list("=-_"), 900)), "".join(map(chr, rng.integers(0x4E00, 0x9000, 300)))]
+    texts += [" ".join("".join(rng.choice(list(letters), rng.integers(129, 400))) for letters in ("the", "thein", "aeiou", "straßen"))]
     for text, chunks in zip(texts, codec.encode_texts(texts), strict=True):
         assert np.frombuffer(b"".join(chunks), "<u4").tolist() == tik[1].encode_ordinary(text)
 
@@ -205,6 +207,10 @@ def test_secrets(docs, nothing, spark):
     assert text[slice(*map(int, r.spans.split(",")[0].split(":")[1:]))] == 'password = "abcDEF123456'
     assert secret_scan.scan_secrets(docs, model).count() == len(TEXTS)
     assert secret_scan.base_spans("secret: token: abcdefgh") == [] and len(secret_scan.base_spans("API_KEY=abcdef")) == 1
+    many = " ".join(secret_scan._synthetic_random(300) + ["0123456789abcdef" * 2] * 300)
+    base, found = secret_scan.base_spans(many), secret_scan.find_spans(many, model)
+    free = [m.span() for m in secret_scan.CANDIDATE.finditer(many) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+    assert found == sorted(base + [(s, 3, e) for s, e in free if model.is_secret(many[s:e])]) and len(base) >= 300 and len(found) > len(base)
     assert secret_scan.scan_secrets(nothing, model).count() == 0 and secret_scan.train(nothing) is not None
     redacted = {x.doc_id: x.text for x in secret_scan.redact_secrets(docs.select("doc_id", "text"), model).collect()}
     assert "abcDEF123456" not in redacted[11] and redacted[1] is None and redacted[4] == LONG
