@@ -6,8 +6,8 @@ texts in which no fixed pattern fires). A candidate run of token characters is a
 ratio per character exceeds the margin and it mixes character classes. Its span is added unless it overlaps
 a fixed one.
 
-Training reads the values of fixed matches and the words of at most ``sample_rows`` rows (smallest hash of the id): the
-one bounded sample. All documents are scanned, whole texts, without a shuffle.
+Training reads the values of fixed matches and at most ``sample_words`` words a text of at most ``sample_rows`` rows (smallest
+hash of the id): the one bounded sample. All documents are scanned, whole texts, without a shuffle.
 
 Edge cases: null texts count as empty and have no span; repeated rows are scanned one by one; spans are in code points.
 """
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MARGIN = 0.6
 SAMPLE_ROWS = 2_000
+#: Words that one sampled text teaches at most.
+SAMPLE_WORDS = 400
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 
@@ -91,7 +95,7 @@ def _synthetic_random(n: int) -> list[str]:
     return ["".join(rng.choice(list(alphabets[i % len(alphabets)]), 20 + i % 45)) for i in range(n)]
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> MarkovPair:
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> MarkovPair:
     """Learn both models from ``docs`` (doc_id, text)."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +107,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> MarkovPair:
                     kinds += ["random"] * len(spans)
                     values += [re.split(r"[:=]\s*[\"']?", text[s:e], maxsplit=1)[-1] for s, _, e in spans]
                 elif text:
-                    words = re.findall(r"[A-Za-z]+", text)[:400]
+                    words = re.findall(r"[A-Za-z]+", text)[:sample_words]
                     joined = ["_".join(words[i : i + 3]) for i in range(0, len(words), 9)]
                     joined += ["".join(w.capitalize() for w in words[i : i + 3]) for i in range(3, len(words), 9)]
                     joined += ["/".join(words[i : i + 4]) for i in range(6, len(words), 9)]
@@ -125,10 +129,11 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> MarkovPair:
 def find_spans(text: str, model: MarkovPair, margin: float = MARGIN) -> list[tuple[int, int, int]]:
     """(start, kind, end), ascending: all fixed spans, and candidates the models call random that overlap none."""
     spans = base_spans(text)
-    taken = [(s, e) for s, _, e in spans]
+    starts = [s for s, _, _ in spans]
+    reach = [0, *accumulate((e for _, _, e in spans), max)]  # how far the first spans extend
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not any(a < e and s < b for a, b in taken) and model.is_secret(m.group(), margin):
+        if reach[bisect_left(starts, e)] <= s and model.is_secret(m.group(), margin):
             spans.append((s, 3, e))
     return sorted(spans)
 
