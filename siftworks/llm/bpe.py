@@ -154,29 +154,44 @@ class Codec:
         self._table("inside", merged=np.array(sorted(inside), np.int32))
         self.db.execute("create or replace table near_merges as select * from merges semi join inside using (merged)")
 
-    def _encode_long(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        out, batch, size = {}, [], 0
-        for k, piece in enumerate(pieces):
+    def _encode_short(self, pieces: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(pieces), 65536):
+            for ids in self._recur(pieces[at : at + 65536], _STEP):
+                yield ids.astype("<u4").tobytes()
+
+    def _encode_long(self, pieces: list[bytes]) -> Iterator[bytes]:
+        parts = [self._segments(p) for p in pieces]
+        todo = sorted(set().union(*parts), key=lambda x: (len(x), x))
+        done = {x: self.ranks[x].to_bytes(4, "little") for x in todo if x in self.ranks}
+        short = [x for x in todo if x not in done and len(x) <= LONG_PIECE]
+        done.update(zip(short, self._encode_short(short), strict=True))
+        long = [x for x in todo if x not in done]
+        batch, size = [], 0
+        for k, piece in enumerate(long):
             batch.append(piece)
             size += len(piece)
-            if size >= LONG_BYTES or k == len(pieces) - 1:
+            if size >= LONG_BYTES or k == len(long) - 1:
                 self._near_merges(batch)
-                out |= {p: ids.astype("<u4").tobytes() for p, ids in zip(batch, self._recur(batch, _KEYED), strict=True)}
+                done |= {p: ids.astype("<u4").tobytes() for p, ids in zip(batch, self._recur(batch, _KEYED), strict=True)}
                 batch, size = [], 0
-        return out
+        for segments in parts:
+            yield b"".join([done[x] for x in segments])
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece (none empty) as little-endian unsigned 32-bit integers."""
         raw = [p.encode() for p in pieces]
-        parts = {b: self._segments(b) for b in raw if len(b) > LONG_PIECE and b not in self.ranks}
-        todo = sorted({x for b in raw for x in parts.get(b, (b,))}, key=lambda x: (len(x), x))
-        done = {x: self.ranks[x].to_bytes(4, "little") for x in todo if x in self.ranks}
-        short = [x for x in todo if x not in done and len(x) <= LONG_PIECE]
-        for at in range(0, len(short), 65536):
-            some = short[at : at + 65536]
-            done |= {x: ids.astype("<u4").tobytes() for x, ids in zip(some, self._recur(some, _STEP), strict=True)}
-        done |= self._encode_long([x for x in todo if x not in done])
-        return [b"".join([done[x] for x in parts[b]]) if b in parts else done[b] for b in raw]
+        out: list[bytes | None] = [None] * len(raw)
+        short, long = [], []
+        for i, b in enumerate(raw):
+            rank = self.ranks.get(b)
+            if rank is not None:
+                out[i] = rank.to_bytes(4, "little")
+            else:
+                (short if len(b) <= LONG_PIECE else long).append(i)
+        for indexes, encode in ((short, self._encode_short), (long, self._encode_long)):
+            for i, ids in zip(indexes, encode([raw[i] for i in indexes]), strict=True):
+                out[i] = ids
+        return out
 
     def decode_pieces(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes that each sequence of ids (none empty) stands for."""
