@@ -76,6 +76,87 @@ select conv_id, count(*) as n_turns,
 from marked group by conv_id
 """
 
+#: Largest page of equal payloads is the response; the digest's 40 hex digits become 32 base32 digits, five to four.
+OP2_SQL = r"""
+with rows as (
+  select page_id, coalesce(url, '') as url, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as payload_bytes from pages
+), tops as (
+  select html, max(page_id) as top from rows group by html
+), marked as (
+  select r.*, sha1(r.html) as sha, case when r.page_id is distinct from t.top and t.top is not null then t.top end as refers_to
+  from rows r join tops t on r.html = t.html
+)
+select page_id, payload_bytes, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (('0x' || substr(sha, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - i % 4 * 5)::int)::int % 32 + 1, 1)), '') as payload_digest,
+  trim(regexp_replace(url, '[\s]+', ' ', 'g')) as url,
+  case when refers_to is null then greatest((payload_bytes + 1048575) // 1048576, 1) else 1 end as n_chunks, true as valid
+from marked
+"""
+
+#: Every window as an array of words, with the smallest document that it starts in.
+OP10_SQL = r"""
+with texts as (
+  select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents
+), windows as (
+  select r, doc_id, i, md5(array_to_string(list_slice(words, i, i + 12), ' ')) as w
+  from (select r, doc_id, words, unnest(range(1, len(words) - 11)) as i from texts)
+), judged as (
+  select r, i, doc_id > min(doc_id) over (partition by w) as again from windows
+), gone as (
+  select distinct r, unnest(range(i, i + 13)) as pos from judged where again
+), placed as (
+  select r, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from texts
+), kept as (
+  select p.r, count(g.pos) as n_removed, string_agg(case when g.pos is null then p.word end, ' ' order by p.pos) as kept
+  from placed p left join gone g on g.r = p.r and g.pos = p.pos group by p.r
+)
+select t.doc_id, len(t.words)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from texts t left join kept k on t.r = k.r
+"""
+
+
+def op4_sql() -> str:
+    """Base rules and coverage of each n-gram length, by grouping whole n-grams and lines."""
+    sizes = sorted({*repetition.LIMITS, repetition.BASE_WINDOW})
+    limits = " and ".join(f"100 * dup_{n}gram_chars <= {share} * word_chars" for n, share in repetition.LIMITS.items())
+    chars = ", ".join(f"coalesce(sum(chars) filter (n = {n}), 0)::bigint as dup_{n}gram_chars" for n in repetition.LIMITS)
+    windows = " union all ".join(
+        f"select r, {n} as n, i, md5(array_to_string(list_slice(words, i, i + {n - 1}), ' ')) as w "
+        f"from (select r, words, unnest(range(1, len(words) - {n - 2})) as i from texts)"
+        for n in sizes
+    )
+    return rf"""
+with texts as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents
+), hashed as (
+  {windows}
+), grams as (
+  select r, n, i, count(*) over (partition by r, n, w) > 1 as twice from hashed
+), covered as (
+  select distinct r, n, unnest(range(i, i + n)) as pos from grams where twice
+), placed as (
+  select r, length(unnest(words)) as chars, unnest(range(1, len(words) + 1)) as pos from texts
+), coverage as (
+  select r, count(*) filter (n = {repetition.BASE_WINDOW}) as n_repeat_words, {chars} from covered join placed using (r, pos) group by r
+), lines as (
+  select r, line, count(*) - 1 as again from (select r, unnest(string_split(text, chr(10))) as line from texts)
+  where regexp_matches(line, '[^\x20\x09-\x0D]') group by r, line having count(*) > 1
+), repeats as (
+  select r, sum(again)::bigint as n_dup_lines, sum(again * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::bigint as dup_line_chars from lines group by r
+), figures as (
+  select t.doc_id, len(t.words)::bigint as n_words, length(array_to_string(t.words, ''))::bigint as word_chars,
+    length(regexp_replace(t.text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(d.n_dup_lines, 0) as n_dup_lines,
+    coalesce(c.n_repeat_words, 0)::bigint as n_repeat_words, coalesce(d.dup_line_chars, 0) as dup_line_chars,
+    {", ".join(f"coalesce(c.dup_{n}gram_chars, 0) as dup_{n}gram_chars" for n in repetition.LIMITS)}
+  from texts t left join coverage c on t.r = c.r left join repeats d on t.r = d.r
+), ruled as (
+  select *, n_words < {repetition.MIN_WORDS} or 100 * n_repeat_words > {repetition.BASE_PERCENT} * n_words as base_failed from figures
+)
+select *, not base_failed and 100 * dup_line_chars <= {repetition.LINE_LIMIT} * word_chars and {limits} as kept from ruled
+"""
+
+
 def op9_sql() -> str:
     """Targets by filling sources in turn; thresholds from all 36-bit hash values at once."""
     return r"""
@@ -121,4 +202,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op9_mix_sources": op9_sql()}
+    return {
+        "op2_warc_chunks": OP2_SQL, "op4_repetition_coverage": op4_sql(), "op5_chat_format": OP5_SQL, "op9_mix_sources": op9_sql(),
+        "op10_phrase_automata": OP10_SQL,
+    }
