@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from siftworks.llm import bpe, chat, components, mixing, multiset, phrases, quality_rank, repetition, secret_scan, simhash, warc
+from siftworks.llm import bpe, chat, components, mixing, multiset, phrases, quality_rank, repetition, secret_scan, similar_sets, simhash, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -262,3 +262,38 @@ def test_pipeline(spark):
     assert mixed.columns == corpus_pipeline.COLUMNS
     assert corpus_pipeline.tokenize(spark, mixed, "").count() == mixed.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_duplicates_of_pipeline_are_exact(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(40):
+        words = [f"W{x}" for x in rng.integers(0, 10**6, 200)]
+        texts.append(" ".join(words))
+        for k in rng.integers(1, 9, 3):  # 1 to 8 changed words: likeness about 0.95 to 0.67
+            other = list(words)
+            for at in rng.choice(200, int(k), replace=False):
+                other[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(other).upper() + "\n")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    keep = {root(i) for i in range(len(texts))}
+    assert 40 < len(keep) < len(texts)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted(keep)
+    part = pa.array([None, "", "One two", "one TWO", *texts[:2]]).slice(2)
+    values, off = similar_sets.shingle_sets(part)
+    assert off.tolist()[:3] == [0, 1, 2] and values[0] == values[1] and off[3] - off[2] == len(sets[0])
