@@ -24,7 +24,8 @@ from siftworks.shared import shuffle_partitions
 PART_WORDS = 8
 PARTS = rf"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){{1,{PART_WORDS}}}"
 DENSE = 8
-LEVELS = 8
+#: As many as the hash bits that choose a level; differences of tens of millions of parts still leave one usable.
+LEVELS = 20
 LANES = 32
 #: A level with more differing lanes than this tells too little and is left to the next.
 FULL = 24
@@ -36,7 +37,7 @@ def _vector_columns(part: Column) -> list[Column]:
     """slot int (which small lane), small long (what it adds), d0..d7 long: what one part adds."""
     h = [F.xxhash64(part, F.lit(salt)) for salt in range(DENSE // 2)]
     first = F.xxhash64(part)
-    level = F.least(F.bit_count(first.bitwiseAND(-(first.bitwiseAND(F.lit((1 << 20) - 1)))).bitwiseAND(F.lit((1 << 20) - 1)) - 1), F.lit(LEVELS - 1))
+    level = F.least(F.bit_count(first.bitwiseAND(-(first.bitwiseAND(F.lit((1 << LEVELS) - 1)))).bitwiseAND(F.lit((1 << LEVELS) - 1)) - 1), F.lit(LEVELS - 1))
     lane = F.pmod(F.shiftrightunsigned(first, 24), F.lit(LANES))
     small = F.shiftrightunsigned(first, 40).bitwiseAND(F.lit(255)).bitwiseOR(F.lit(1))
     dense = [x for v in h for x in (v.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(v, 32))]
@@ -84,9 +85,9 @@ def to_hex(fp: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common parts of two fingerprints, 0 to 1; 1 only for equal fingerprints."""
-    differ = F.zip_with(a["lanes"], b["lanes"], lambda x, y: (x != y).cast("int"))
     per_level = F.transform(
-        F.sequence(F.lit(LEVELS - 1), F.lit(0)), lambda j: F.aggregate(F.slice(differ, j * LANES + 1, LANES), F.lit(0), lambda s, x: s + x)
+        F.sequence(F.lit(LEVELS - 1), F.lit(0)),
+        lambda j: F.size(F.filter(F.zip_with(F.slice(a["lanes"], j * LANES + 1, LANES), F.slice(b["lanes"], j * LANES + 1, LANES), lambda x, y: x != y), lambda d: d)),
     )
     start = F.struct(F.lit(True).alias("open"), F.lit(0.0).alias("sum"), F.lit(float(1 << LEVELS)).alias("times"))
 

@@ -297,3 +297,13 @@ def test_near_duplicates_of_pipeline_are_exact(spark):
     part = pa.array([None, "", "One two", "one TWO", *texts[:2]]).slice(2)
     values, off = similar_sets.shingle_sets(part)
     assert off.tolist()[:3] == [0, 1, 2] and values[0] == values[1] and off[3] - off[2] == len(sets[0])
+
+
+def test_multiset_of_a_very_long_text(spark):
+    texts = ["".join(f"{c}{i}\n" for i in range(120_000)) for c in "ab"]
+    n = len(texts[0]) // 4
+    edited = texts[0][: len(texts[0]) - n] + texts[1][:n]
+    own, other = (Counter(t.splitlines()) for t in (texts[0], edited))
+    exact = (own & other).total() / (own | other).total()
+    got = multiset.edited_likeness(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("doc_id = 0").first()
+    assert abs(got.near_edited - exact) < 0.15 and got.near_next < 0.2
