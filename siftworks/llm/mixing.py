@@ -13,7 +13,7 @@ are taken or left together; an empty table gives an empty result; sources withou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.shared import materialize
@@ -25,15 +25,24 @@ STEP_BITS = 12
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, skey, size, h) per row; h is 36 bits of the id's MD5, skey a source's key that is never null."""
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 9), 16, 10)
+def key_hash(key: Column) -> Column:
+    """36 bits of the MD5 of a string key; a null counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 9), 16, 10).cast("long")
+
+
+def source_key() -> Column:
+    """A key of the source that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
+def word_sizes(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(doc_id, source, skey, size, h) per row; h is the hash of ``key`` (the id if it is not given)."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"),
+        source_key().alias("skey"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        hashed.cast("long").alias("h"),
+        key_hash(F.col("doc_id") if key is None else key).alias("h"),
     )
 
 
@@ -82,12 +91,27 @@ def hash_thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("skey", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
+def source_limits(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """(skey, source_size, target, copies, budget, threshold): one row per source."""
+    targets = materialize(source_targets(sizes, weights, max_repeat), "mix-targets")
+    return targets.join(hash_thresholds(sizes, targets.select("skey", "budget")), "skey")
+
+
+def times_taken() -> Column:
+    """How often a row with hash h is taken, beside the limits of its source."""
+    return F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Per row of ``docs`` (doc_id, source, text): doc_id, size, source_size, target, taken."""
     sizes = materialize(word_sizes(docs), "mix-sizes")
-    targets = materialize(source_targets(sizes, weights, max_repeat), "mix-targets")
-    limits = targets.join(hash_thresholds(sizes, targets.select("skey", "budget")), "skey")
-    times = F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")
-    return sizes.join(limits, "skey").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times")
+    return sizes.join(source_limits(sizes, weights, max_repeat), "skey").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken"), times_taken().alias("times")
     )
+
+
+def repeat_rows(docs: DataFrame, key: Column, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """Each row of ``docs`` (doc_id, source, text, ...) as often as the mix takes it; rows are chosen by the hash of ``key``."""
+    limits = materialize(source_limits(materialize(word_sizes(docs, key), "mix-sizes"), weights, max_repeat), "mix-limits")
+    held = docs.select("*", source_key().alias("skey"), key_hash(key).alias("h")).join(limits.select("skey", "copies", "threshold"), "skey")
+    return held.select(F.explode(F.array_repeat(F.lit(1), times_taken().cast("int"))), *docs.columns).select(*docs.columns)

@@ -197,7 +197,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     signed = materialize(fingerprints(docs), "simhash")
     unique = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-unique")
-    links = near_links(unique.filter("rep is not null"), radius)
+    # by fingerprint, not by id: one held by rows without an id joins others too
+    links = near_links(unique.select("fp", F.col("fp").alias("rep")), radius)
     linked = connected_components(links, "simhash-links")
-    classes = unique.join(linked, unique["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    roots = unique.join(linked, unique["fp"] == linked["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    classes = roots.join(least, "root").select("fp", "component_id")
     return signed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -307,3 +307,20 @@ def test_multiset_of_a_very_long_text(spark):
     exact = (own & other).total() / (own | other).total()
     got = multiset.edited_likeness(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("doc_id = 0").first()
     assert abs(got.near_edited - exact) < 0.15 and got.near_next < 0.2
+
+
+def test_rows_without_or_with_shared_ids(spark, monkeypatch):
+    import corpus_pipeline
+
+    ids = [None] * 10 + [7] * 10 + list(range(100, 110))
+    rows = [(i, " ".join(f"t{k}w{j}" for j in range(20)), "en", "a", 1) for k, i in enumerate(ids)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([*rows, rows[0], (None, rows[-1][1], "en", "a", 1)], schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(rows, schema).collect()))
+    assert sorted(map(str, corpus_pipeline.mix(spark, kept, "").collect())) == sorted(map(str, kept.collect()))
+    monkeypatch.setattr(simhash, "fingerprints", lambda d: d)
+    linked = spark.createDataFrame([(1, 0), (None, 0b111), (2, 0b111111), (None, -1), (None, -2)], "doc_id long, fp long")
+    got = simhash.near_duplicates(linked).collect()
+    assert sorted((int(r.fingerprint, 16) & 255, r.component_id) for r in got if r.component_id) == [(0, 1), (7, 1), (63, 1)]
+    assert sum(r.component_id is None for r in got) == 2
