@@ -190,13 +190,14 @@ def encode_cursor(fields: Column) -> Column:
     return F.regexp_replace(F.translate(F.base64(text.cast("binary")), "+/\r\n", "-_"), "=+$", "")
 
 
-def canonical_url(url: Column, host: str, paths: str) -> Column:
-    """https, the fixed host, an allowed path (a pattern), a whole page number; anything else is null."""
+def canonical_url(url: Column, host: Column | str, paths: str) -> Column:
+    """https, the given host (lower case; a column or one value), an allowed path (a pattern), a whole page number; anything else is null."""
+    host = F.lit(host) if isinstance(host, str) else host
     path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
     page = F.try_parse_url(url, F.lit("QUERY"), F.lit("page"))
     ok = (F.lower(F.try_parse_url(url, F.lit("HOST"))) == host) & F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & path.rlike(paths)
     number = F.when(page.rlike("^[0-9]{1,9}$"), F.concat(F.lit("?page="), page.cast("int").cast("string")))
-    return F.when(ok & (page.isNull() | number.isNotNull()), F.concat(F.lit(f"https://{host}"), path, F.coalesce(number, F.lit(""))))
+    return F.when(ok & (page.isNull() | number.isNotNull()), F.concat(F.lit("https://"), host, path, F.coalesce(number, F.lit(""))))
 
 
 def rule_pattern(pattern: Column) -> Column:

@@ -163,9 +163,12 @@ def next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.regexp_replace("url", "^http:", "https:")
-    host = F.try_parse_url(url, F.lit("HOST"))
-    return table(spark, sf_dir, "pages").select("page_id", pages.canonical_url(F.col("url"), "ththre.example.com", "^/(en|fr|de|es)/[0-9]+$").alias("canonical"), host.isNotNull().alias("has_host"))
+    """Urls of pages; the allowed hosts are those with a page on an allowed path."""
+    paths = "^/(en|fr|de|es)/[0-9]+$"
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"))
+    sites = rows.filter(F.try_parse_url("url", F.lit("PATH")).rlike(paths)).select(F.col("host").alias("site")).distinct()
+    known = rows.join(sites, F.col("host") == F.col("site"), "left")
+    return known.select("page_id", pages.canonical_url(F.col("url"), F.col("site"), paths).alias("canonical"), F.col("host").isNotNull().alias("has_host"))
 
 
 def decode_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +319,10 @@ def oracle_sql() -> dict[str, str]:
         "next_links": with_sql(
             "select 'https://example.com/survey?page=' || cast(n as varchar) as url, 'https://example.com/survey?page=' || cast(n + 1 as varchar) as next_url from (select distinct p_id // 20 as n from applicants)"
         ),
+        "canonical_urls": r"select page_id, case when regexp_matches(path, '^/(en|fr|de|es)/[0-9]+$') and (page is null or regexp_matches(page, '^[0-9]{1,9}$')) "
+        r"then 'https://' || host || path || coalesce('?page=' || cast(try_cast(page as int) as varchar), '') end as canonical, host <> '' as has_host from ("
+        r"select page_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) as host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) as path, "
+        r"nullif(regexp_extract(url, '^[^#?]*[?]([^#]*&)?page=([^&#]*)', 2), '') as page from pages)",
         "decode_cursor": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, event_id as id, event_id % 2 = 0 as forward from events",
         "challenge_pages": "select page_id from pages where contains(lower(html), 'track(0)') or contains(lower(html), 'captcha')",
         "reparse_pages": with_sql(f"select p_id as result_id, 'https://example.com/survey?page=' || cast(p_id // 20 as varchar) as url, {_SCHOOL} as school_text from applicants"),
