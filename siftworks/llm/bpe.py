@@ -1,13 +1,17 @@
 """Byte-level BPE by recursive queries: encoding and decoding inside each partition with DuckDB.
 
 A text is cut into pieces by the vocabulary's pattern. Each different piece starts as one row per byte
-(piece, position, token). A recursive query joins neighbouring tokens with the merge table, contracts each piece's
-leftmost pair of minimum rank, and ends at the fixpoint, when no neighbours merge. Decoding joins token rows with the
-vocabulary and concatenates their bytes in an ordered aggregation. Different pieces are encoded once per Python worker
-(a bounded cache), so the queries see few rows; texts are streamed and nothing is shuffled.
+(piece, position, token, next position, next token). A recursive query joins neighbouring tokens with the merge table,
+contracts each piece's leftmost pair of minimum rank, and ends at the fixpoint, when no neighbours merge. Decoding joins
+token rows with the vocabulary and concatenates their bytes in an ordered aggregation. Pieces encoded lately are remembered
+in twice ``RECENT_BYTES`` a worker, so the recursion sees few rows; texts are streamed and nothing is shuffled.
+
+A worker holds the vocabulary, what it remembers, the different words of ``BATCH_BYTES`` of text (or of one longer text)
+and DuckDB's tables of ``QUERY_PIECES`` pieces.
 
 Edge cases: a null text counts as empty (no tokens); repeated rows are encoded one by one; pieces of any length work,
-those over ``LONG_PIECE`` bytes by a keyed recursion that holds one row per position instead of one per step.
+those over ``long_piece`` bytes by a keyed recursion that holds one row per position instead of one per step (both
+give the same ids at every length; the first needs a step for each merge).
 """
 
 from __future__ import annotations
@@ -25,35 +29,45 @@ from pyspark.sql import functions as F
 
 from siftworks.llm import bytescan as bs
 
+#: Bytes from which on a piece is encoded by the keyed recursion.
 LONG_PIECE = 128
 #: Bytes of long pieces that take their steps together.
 LONG_BYTES = 1 << 16
-CACHE_PIECES = 1_200_000
-#: Bytes of text whose pieces are encoded by one query.
-QUERY_BYTES = 12 << 20
+#: Pieces that take their steps together.
+QUERY_PIECES = 1 << 15
+#: Tokens decoded together; a longer text alone.
+DECODE_TOKENS = 1 << 18
+#: About as many bytes of words and pieces are remembered, twice: those met since the last turnover, and those before.
+RECENT_BYTES = 24 << 20
+#: Bytes of text whose words are encoded together.
+BATCH_BYTES = 4 << 20
+#: DuckDB's memory, and what it may use for each position of one longer piece.
+DUCKDB_BYTES, DUCKDB_POSITION_BYTES = 96 << 20, 512
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-# Unicode White_Space, as the pattern's \\s means it.
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Cuts a text where the pattern always cuts it too: before a space and a word, and around other white space.
-_CHUNKS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+# The pattern always cuts before a space that a visible character follows, whatever stands before it.
+_LOOSE = re.compile(r" (?:\s|\Z)")
+_CUT = re.compile(r" (?=\S)")
 
 _STEP = """
-with recursive state(w, pos, tok, live) as (
-    select w, pos, tok, true from pieces
+with recursive state(w, pos, tok, after, following, live) as (
+    select w, pos, tok, after, following, true from pieces
   union all
-    (with pairs as (
-        select w, pos, tok, lead(tok) over o as following, lag(pos) over o as before
-        from state where live window o as (partition by w order by pos)),
-     ranked as (
-        select p.w, p.pos, p.tok, p.before, m.merged
-        from pairs p left join merges m on p.tok = m.lhs and p.following = m.rhs),
-     best as (
-        select w, min(merged::bigint * 1048576 + pos) as choice from ranked where merged is not null group by w)
+    (with ranked as materialized (
+        select s.w, s.pos, s.tok, s.after, s.following, m.merged
+        from state s left join merges m on s.tok = m.lhs and s.following = m.rhs where s.live),
+     best as materialized (
+        select w, min((merged::bigint << 40) + (pos::bigint << 20) + after) as choice from ranked where merged is not null group by w),
+     contracted as (
+        select b.w, (b.choice >> 40)::int as merged, (b.choice >> 20 & 1048575)::int as left_pos, r.pos as right_pos, r.after, r.following
+        from best b join ranked r on r.w = b.w and r.pos = (b.choice & 1048575)::int)
      select r.w, r.pos,
-            case when r.pos = b.choice % 1048576 then (b.choice // 1048576)::int else r.tok end, b.w is not null
-     from ranked r left join best b on r.w = b.w
-     where b.w is null or r.before is null or r.before <> b.choice % 1048576)
+            case when r.pos = c.left_pos then c.merged else r.tok end,
+            case when r.pos = c.left_pos then c.after else r.after end,
+            case when r.pos = c.left_pos then c.following when r.after = c.left_pos then c.merged else r.following end,
+            c.w is not null
+     from ranked r left join contracted c on r.w = c.w
+     where c.w is null or r.pos <> c.right_pos)
 )
 select w, tok from state where not live order by w, pos
 """
@@ -85,7 +99,7 @@ select w, tok from state where tok is not null order by w, pos
 
 _DECODE = """
 select s, string_agg(hex, '' order by pos) as hex
-from tokens join vocabulary using (tok) group by s order by s
+from tokens join vocabulary using (tok) group by s
 """
 
 
@@ -95,29 +109,59 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Recent:
+    """A mapping that keeps about the last ``limit`` bytes' worth of what was put or found, and as much of what came before."""
+
+    OVERHEAD = 210
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, keys: set[str]) -> dict[str, bytes]:
+        """Those of the keys that are remembered."""
+        found = {k: self.new[k] for k in keys & self.new.keys()}
+        again = {k: self.old[k] for k in (keys & self.old.keys()) - found.keys()}
+        for key, value in again.items():
+            self.put(key, value)
+        return found | again
+
+    def put(self, key: str, value: bytes) -> None:
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new[key] = value
+        self.size += len(key) + len(value) + self.OVERHEAD
+
+
 class Codec:
-    """One process's DuckDB connection with the merge table and the vocabulary, and its cache of pieces."""
+    """One process's DuckDB connection with the merge table and the vocabulary, and what it remembers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, recent_bytes: int = RECENT_BYTES, long_piece: int = LONG_PIECE):
         import duckdb
         import regex
 
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, bytes] = {}
-        self.cache_pieces = cache_pieces
+        self.recent = Recent(recent_bytes)
+        self.long_piece = long_piece
         self.byte_ids = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
         if (self.byte_ids < 0).any():
             raise ValueError("the vocabulary lacks a single byte")
-        merges = [
-            (ranks[token[:i]], ranks[token[i:]], rank)
-            for token, rank in ranks.items()
-            for i in range(1, len(token))
-            if token[:i] in ranks and token[i:] in ranks
-        ]
-        lhs, rhs, merged = np.array(merges, dtype=np.int32).reshape(-1, 3).T
+        merges = np.fromiter(
+            (
+                x
+                for token, rank in ranks.items()
+                for i in range(1, len(token))
+                if token[:i] in ranks and token[i:] in ranks
+                for x in (ranks[token[:i]], ranks[token[i:]], rank)
+            ),
+            dtype=np.int32,
+        )
+        lhs, rhs, merged = merges.reshape(-1, 3).T
         sooner = np.union1d(lhs[merged < lhs], rhs[merged < rhs])
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1})
+        self._limit(DUCKDB_BYTES)
         self._table("merges", lhs=lhs, rhs=rhs, merged=merged, alone=np.isin(merged, sooner))
         self.longest = max(map(len, ranks))
         # pairs of bytes that some token holds side by side; between others no merge can happen
@@ -126,20 +170,27 @@ class Codec:
         tokens = sorted(ranks.items(), key=lambda x: x[1])
         self._table("vocabulary", tok=np.array([r for _, r in tokens], np.int32), hex=pa.array([t.hex() for t, _ in tokens]))
 
+    def _limit(self, size: int) -> None:
+        self.db.execute(f"set memory_limit = '{size >> 20}MiB'")
+
     def _table(self, name: str, **columns) -> None:
         self.db.register("incoming", pa.table(columns))
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def _recur(self, pieces: list[bytes], query: str) -> list[np.ndarray]:
+    def _recur(self, pieces: list[bytes], query: str) -> list[bytes]:
+        """The ids of each piece, which ``query`` finds from the table of its bytes."""
         lengths = np.array([len(p) for p in pieces])
         which = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
         pos = (np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         tok = self.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        self._table("pieces", w=which, pos=pos, tok=tok)
+        last = pos == np.repeat(lengths, lengths) - 1
+        self._table("pieces", w=which, pos=pos, tok=tok, after=pa.array(pos + 1, mask=last), following=pa.array(np.append(tok[1:], tok[:1]), mask=last))
+        self._limit(DUCKDB_BYTES + DUCKDB_POSITION_BYTES * max(0, len(tok) - (1 << 19)))
         got = self.db.sql(query).to_arrow_table()
-        w, ids = got["w"].to_numpy(), got["tok"].to_numpy()
-        return np.split(ids, np.flatnonzero(np.diff(w)) + 1)
+        ids = got["tok"].to_numpy().astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(got["w"].to_numpy(), minlength=len(pieces)))
+        return [ids[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _segments(self, piece: bytes) -> list[bytes]:
         """A piece cut where no merge can happen."""
@@ -149,21 +200,27 @@ class Codec:
 
     def _near_merges(self, pieces: list[bytes]) -> None:
         """The merges whose token occurs in one of the pieces, as a small table to join with."""
-        sizes = range(2, self.longest + 1)
-        inside = {self.ranks.get(p[i : i + n], -1) for p in pieces for n in sizes for i in range(len(p) - n + 1)}
-        self._table("inside", merged=np.array(sorted(inside), np.int32))
+        inside = set()
+        for p in pieces:
+            for n in range(2, min(self.longest, len(p)) + 1):
+                inside.update(map(self.ranks.get, {p[i : i + n] for i in range(len(p) - n + 1)}))
+        self._table("inside", merged=np.array(sorted(x for x in inside if x is not None), np.int32))
         self.db.execute("create or replace table near_merges as select * from merges semi join inside using (merged)")
 
-    def _encode_short(self, pieces: list[bytes]) -> Iterator[bytes]:
-        for at in range(0, len(pieces), 65536):
-            for ids in self._recur(pieces[at : at + 65536], _STEP):
-                yield ids.astype("<u4").tobytes()
+    def _encode_short(self, pieces: list[bytes]) -> list[bytes]:
+        # pieces of a length take about as many steps
+        done = {}
+        ordered = sorted(pieces, key=len)
+        for at in range(0, len(ordered), QUERY_PIECES):
+            some = ordered[at : at + QUERY_PIECES]
+            done.update(zip(some, self._recur(some, _STEP), strict=True))
+        return [done[p] for p in pieces]
 
     def _encode_long(self, pieces: list[bytes]) -> Iterator[bytes]:
         parts = [self._segments(p) for p in pieces]
         todo = sorted(set().union(*parts), key=lambda x: (len(x), x))
         done = {x: self.ranks[x].to_bytes(4, "little") for x in todo if x in self.ranks}
-        short = [x for x in todo if x not in done and len(x) <= LONG_PIECE]
+        short = [x for x in todo if x not in done and len(x) <= self.long_piece]
         done.update(zip(short, self._encode_short(short), strict=True))
         long = [x for x in todo if x not in done]
         batch, size = [], 0
@@ -172,7 +229,7 @@ class Codec:
             size += len(piece)
             if size >= LONG_BYTES or k == len(long) - 1:
                 self._near_merges(batch)
-                done |= {p: ids.astype("<u4").tobytes() for p, ids in zip(batch, self._recur(batch, _KEYED), strict=True)}
+                done |= dict(zip(batch, self._recur(batch, _KEYED), strict=True))
                 batch, size = [], 0
         for segments in parts:
             yield b"".join([done[x] for x in segments])
@@ -187,43 +244,62 @@ class Codec:
             if rank is not None:
                 out[i] = rank.to_bytes(4, "little")
             else:
-                (short if len(b) <= LONG_PIECE else long).append(i)
+                (short if len(b) <= self.long_piece else long).append(i)
         for indexes, encode in ((short, self._encode_short), (long, self._encode_long)):
             for i, ids in zip(indexes, encode([raw[i] for i in indexes]), strict=True):
                 out[i] = ids
         return out
 
-    def decode_pieces(self, encoded: list[bytes]) -> list[bytes]:
-        """The bytes that each sequence of ids (none empty) stands for."""
-        if not encoded:
-            return []
-        lengths = np.array([len(e) // 4 for e in encoded])
-        which = np.repeat(np.arange(len(encoded), dtype=np.int32), lengths)
-        pos = np.arange(len(which), dtype=np.int32)
-        tok = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
-        self._table("tokens", s=which, pos=pos, tok=tok)
-        got = self.db.sql(_DECODE).to_arrow_table()
-        return [bytes.fromhex(x) for x in got["hex"].to_pylist()]
-
-    def cut(self, text: str) -> list[str]:
-        """The pattern's matches."""
-        return self.pattern.findall(text)
-
-    def encode_texts(self, texts: list[str]) -> Iterator[list[bytes]]:
-        """For each text its encoded chunks, in order; each chunk is a whole number of pieces."""
-        chunked = [_CHUNKS.findall(t) for t in texts]
-        kinds = set().union(*chunked)
-        cuts = {c: self.cut(c) for c in kinds}
-        missing = {p for ps in cuts.values() for p in ps if p not in self.cache}
-        if len(self.cache) + len(missing) > self.cache_pieces:
-            self.cache.clear()
-            missing = {p for ps in cuts.values() for p in ps}
-        todo = sorted(missing)
-        self.cache.update(zip(todo, self.encode_pieces(todo), strict=True))
-        cache = self.cache
-        encoded = {c: cache[ps[0]] if len(ps) == 1 else b"".join([cache[p] for p in ps]) for c, ps in cuts.items()}
-        for chunks in chunked:
-            yield [encoded[c] for c in chunks]
+    def words(self, text: str) -> list[str]:
+        """The text cut before single spaces that a visible character follows; these spaces are left out."""
+        return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word, which is one piece of the pattern or several."""
+        found = self.recent.find(words)
+        cuts = {w: self.pattern.findall(w) for w in words - found.keys()}
+        wanted = set().union(*cuts.values())
+        pieces = self.recent.find(wanted)
+        todo = list(wanted - pieces.keys())
+        for p, ids in zip(todo, self.encode_pieces(todo), strict=True):
+            pieces[p] = ids
+            self.recent.put(p, ids)
+        found.update((w, pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])) for w, parts in cuts.items())
+        return found
+
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        heads, rest = set(), set()
+        for text in texts:
+            first, *others = self.words(text)
+            heads.add(first)
+            rest.update(others)
+        # all words but the first of a text begin with the space before them
+        inner = {w: " " + w for w in rest}
+        encoded = self.encode_words(heads.union(inner.values()))
+        inner = {w: encoded[full] for w, full in inner.items()}
+        for text in texts:
+            first, *others = self.words(text)
+            yield encoded[first] + b"".join([inner[w] for w in others])
+
+    def decode_sequences(self, sequences: list[bytes]) -> Iterator[bytes]:
+        """The bytes that each sequence of ids stands for."""
+        at = 0
+        while at < len(sequences):
+            # some sequences, or one long one
+            stop, size = at, 0
+            while stop < len(sequences) and (stop == at or size + len(sequences[stop]) <= 4 * DECODE_TOKENS):
+                size += len(sequences[stop])
+                stop += 1
+            some = sequences[at:stop]
+            which = np.repeat(np.arange(len(some), dtype=np.int32), [len(e) // 4 for e in some])
+            tok = np.frombuffer(b"".join(some), dtype="<u4").astype(np.int32)
+            self._table("tokens", s=which, pos=np.arange(len(which), dtype=np.int32), tok=tok)
+            self._limit(DUCKDB_BYTES + DUCKDB_POSITION_BYTES * max(0, len(tok) - DECODE_TOKENS))
+            found = self.db.sql(_DECODE).to_arrow_table()
+            plain = dict(zip(found["s"].to_pylist(), found["hex"].to_pylist(), strict=True))
+            yield from (bytes.fromhex(plain.get(i, "")) for i in range(len(some)))
+            at = stop
 
 
 _codecs: dict[int, Codec] = {}
@@ -247,7 +323,7 @@ def share_vocabulary(spark, path: str) -> Broadcast:
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from bs.slices(batch, column, QUERY_BYTES)
+        yield from bs.slices(batch, column, BATCH_BYTES)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -257,7 +333,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for part in _runs(batches, "text"):
-            ids = [b"".join(x) for x in codec.encode_texts([t or "" for t in part.column("text").to_pylist()])]
+            ids = list(codec.encode_texts([t or "" for t in part.column("text").to_pylist()]))
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
@@ -273,9 +349,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str = "") -> DataFrame:
         codec = _codec(shared, pattern)
         for batch in batches:
             sequences = [np.asarray(x or [], dtype="<u4").tobytes() for x in batch.column("ids").to_pylist()]
-            full = [i for i, s in enumerate(sequences) if s]
-            decoded = dict(zip(full, codec.decode_pieces([sequences[i] for i in full]), strict=True))
-            out = pa.array([decoded.get(i, b"") for i in range(len(sequences))], pa.binary())
+            out = pa.array(codec.decode_sequences(sequences), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], ["doc_id", "bytes"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, bytes binary")
@@ -288,15 +362,12 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for part in _runs(batches, "text"):
-            per_text = list(codec.encode_texts([t or "" for t in part.column("text").to_pylist()]))
-            sequences = sorted(set().union(*per_text))
-            back = dict(zip(sequences, codec.decode_pieces(sequences), strict=True))
-            ids = [b"".join(x) for x in per_text]
+            ids = list(codec.encode_texts([t or "" for t in part.column("text").to_pylist()]))
             columns = [
                 part.column("doc_id"),
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(b"".join([back[s] for s in x])).hexdigest() for x in per_text]),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode_sequences(ids)], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 

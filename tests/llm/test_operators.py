@@ -114,14 +114,27 @@ def test_bpe_equals_library(docs, nothing, tik):
 
 
 def test_bpe_odd_pieces(tik):
-    codec = bpe.Codec(tik[0], P.PATTERN, cache_pieces=50)
+    codec = bpe.Codec(tik[0], P.PATTERN, recent_bytes=20_000)
     rng = np.random.default_rng(3)
     alphabet = list("ab  \n\t\x1c\x85 　'sldvert019²Ⅷ一é_-.,!\U0001f600\x00")
     texts = ["".join(rng.choice(alphabet, rng.integers(0, 50))) for _ in range(300)] + ["a" * 400, "=" * 300 + " " * 200, "".join(rng.choice(list("etaoin"), 500))]
     texts += ["ab" * 400 + "b", "".join(rng.choice(list("ab"), 700)), "".join(rng.choice(list("=-_"), 900)), "".join(map(chr, rng.integers(0x4E00, 0x9000, 300)))]
     texts += [" ".join("".join(rng.choice(list(letters), rng.integers(129, 400))) for letters in ("the", "thein", "aeiou", "straßen"))]
-    for text, chunks in zip(texts, codec.encode_texts(texts), strict=True):
-        assert np.frombuffer(b"".join(chunks), "<u4").tolist() == tik[1].encode_ordinary(text)
+    texts += [" ".join(rng.choice(["a", "b ", " c", "\n", "d.\n", "\x1c", "e\u3000"], 40)) for _ in range(100)] + ["", " ", "  ", " a", "a  ", "\n a", " \n"]
+    texts += [" ".join(f"x{i}y{'z' * (i % 9)}" for i in range(3000))] * 2  # more pieces than are remembered
+    encoded = list(codec.encode_texts(texts))
+    for text, ids in zip(texts, encoded, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tik[1].encode_ordinary(text)
+    assert [x.decode() for x in codec.decode_sequences(encoded)] == texts
+
+
+def test_bpe_recursions_agree(tik):
+    """The same ids whichever recursion takes a piece, at the switch and away from it."""
+    rng = np.random.default_rng(5)
+    alphabets = ["etaoin", "thein", "ab", "=-_", "éßüa", "一二三"]
+    pieces = ["".join(rng.choice(list(a), n)) for a in alphabets for n in (1, 2, 3, 9, 30, 60, *range(116, 142, 5))]
+    got = [bpe.Codec(tik[0], P.PATTERN, long_piece=n).encode_pieces(pieces) for n in (0, bpe.LONG_PIECE, 10_000)]
+    assert got[0] == got[1] == got[2] == [np.array(tik[1].encode_ordinary(p), "<u4").tobytes() for p in pieces]
 
 
 def test_chat(spark):
@@ -264,15 +277,18 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
-def test_near_duplicates_of_pipeline_are_exact(spark):
+@pytest.mark.parametrize("block_rows", [similar_sets.BLOCK_ROWS, 6])
+def test_near_duplicates_of_pipeline_are_exact(spark, monkeypatch, block_rows):
     import corpus_pipeline
 
+    monkeypatch.setattr(similar_sets, "BLOCK_ROWS", block_rows)
+
     rng = np.random.default_rng(3)
     texts = []
     for i in range(40):
         words = [f"W{x}" for x in rng.integers(0, 10**6, 200)]
         texts.append(" ".join(words))
-        for k in rng.integers(1, 9, 3):  # 1 to 8 changed words: likeness about 0.95 to 0.67
+        for k in rng.integers(1, 9, 30 if i == 0 else 3):  # 1 to 8 changed words: likeness about 0.95 to 0.67
             other = list(words)
             for at in rng.choice(200, int(k), replace=False):
                 other[at] = f"x{rng.integers(0, 10**6)}"
