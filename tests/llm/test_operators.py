@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from siftworks.llm import bpe, chat, components, mixing, multiset, phrases, quality_rank, repetition, secret_scan, similar_sets, simhash, warc
+from siftworks.shared import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -87,7 +88,7 @@ def test_warc_round_trip(spark):
     assert kinds[1, sha("same")] == ("revisit", 2) == kinds[None, sha("same")] and kinds[2, sha("same")] == ("response", None)
     assert kinds[3, sha("")] == ("revisit", 4) and kinds[None, sha("alone")] == ("response", None) == kinds[6, sha("WARC/1.1\r\n\r\n")]
     assert {r.n_chunks for r in rows if r.page_id == 5} == {6}
-    chunks = warc.read_archives(warc.write_archives(warc.chunk_rows(warc.page_records(table.filter("page_id = 5")), 1 << 20), f"file:///tmp/spark-warc-{hash(object())}"), 1 << 19)
+    chunks = warc.read_archives(warc.write_archives(warc.chunk_rows(warc.page_records(table.filter("page_id = 5")), 1 << 20), scratch_path(spark, "warc")), 1 << 19)
     parts = chunks.orderBy("chunk_no").collect()
     assert b"".join(bytes(p.chunk) for p in parts) == big.encode() and max(len(p.chunk) for p in parts) <= 1 << 19
     assert warc.archive_pages(table.limit(0)).count() == 0
@@ -220,16 +221,50 @@ def test_secrets(docs, nothing, spark):
     assert text[slice(*map(int, r.spans.split(",")[0].split(":")[1:]))] == 'password = "abcDEF123456'
     assert secret_scan.scan_secrets(docs, model).count() == len(TEXTS)
     assert secret_scan.base_spans("secret: token: abcdefgh") == [] and len(secret_scan.base_spans("API_KEY=abcdef")) == 1
-    many = " ".join(secret_scan._synthetic_random(300) + ["0123456789abcdef" * 2] * 300)
-    base, found = secret_scan.base_spans(many), secret_scan.find_spans(many, model)
-    free = [m.span() for m in secret_scan.CANDIDATE.finditer(many) if not any(s < m.end() and m.start() < e for s, _, e in base)]
-    assert found == sorted(base + [(s, 3, e) for s, e in free if model.is_secret(many[s:e])]) and len(base) >= 300 and len(found) > len(base)
     assert secret_scan.scan_secrets(nothing, model).count() == 0 and secret_scan.train(nothing) is not None
     redacted = {x.doc_id: x.text for x in secret_scan.redact_secrets(docs.select("doc_id", "text"), model).collect()}
-    assert "abcDEF123456" not in redacted[11] and redacted[1] is None and redacted[4] == LONG
-    words = secret_scan.MarkovPair(secret_scan._synthetic_random(500), ["hello_world_again", "getElementById", "internationalization", "path/to/some/file"] * 30)
-    held = secret_scan._synthetic_random(700)[500:]
-    assert sum(words.ratio(s) > 0.6 for s in held) > 190 and not words.is_secret("international_path_to_hello")
+    assert "abcDEF123456" not in redacted[11] and redacted[1] is None and redacted[2] == "" and redacted[4] == LONG
+    clash = secret_scan.redact_secrets(docs, model)
+    assert clash.columns == docs.columns and {r.fp for r in clash.collect()} == {"clash"}
+
+
+def test_secret_base_spans_against_the_patterns(spark):
+    """Base counts, digests and order over all texts of a table, by the plain patterns."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = by_id(secret_scan.scan_secrets(table, secret_scan.train(table)))
+    patterns = (
+        (r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1),
+        (r"AKIA[A-Z0-9]+", 20, 0), (r"[0-9a-f]+", 24, 0),
+    )
+    found = 0
+    for r in table.collect():
+        spans = [(m.start(), k, m.end()) for k, (p, least, g) in enumerate(patterns) for m in re.finditer(p, r.text or "") if len(m.group(g)) >= least]
+        found += len(spans)
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        g = got[r.doc_id]
+        assert [g.n_assign, g.n_access, g.n_hex] == [sum(k == x for _, x, _ in spans) for k in range(3)]
+        assert g.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(g.spans.split(","))
+    assert found > 0
+
+
+def test_secrets_of_the_models(spark):
+    """Free-standing random strings of 10 to 60 characters planted in texts that were not learned from, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").filter("text is not null")
+    model = secret_scan.train(docs.filter("doc_id % 2 = 0"))
+    texts = [r.text for r in docs.filter("doc_id % 2 = 1").orderBy("doc_id").collect()]
+    strings = secret_scan._synthetic_random(1400, seed=99)
+    planted = [f"{t} é {x}\n{t}" for t, x in zip(texts, strings)]
+    hit = other = 0
+    for text, x, (_, spans) in zip(texts, strings, secret_scan.find_spans(pa.array(planted), model)):
+        s = len(text) + 3
+        hit += any(a <= s and s + len(x) <= b for a, _, b in spans)
+        other += sum(k == 3 and (a, b) != (s, s + len(x)) for a, k, b in spans)
+    n = min(len(texts), len(strings))
+    assert hit >= 0.99 * n and other <= 0.001 * n
+    for word in ("internationalization", "getElementById", "path/to/some/file", "=" * 80, "2024-01-01", "0123456789012"):
+        assert model.score(word) < secret_scan.MARGIN < model.score("qxzvkjwpqmzxhtrbwvkq")
+    # a run ends with its document
+    assert [x for _, x in secret_scan.find_spans(pa.array(["x7Kq9", "Zt4Wm2", None, ""]), model)] == [[], [], [], []]
 
 
 def test_mixing(docs, nothing, spark):
