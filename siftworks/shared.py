@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where the tables lie that materialize has returned and that are still in use.
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where the session names none (as in tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a local session gets a new one; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="siftworks-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,11 +30,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and a lost executor loses nothing.
+
+    The shuffles of the write are of no use after it; Spark is asked to remove their files at once.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLES, None)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(_CLEAN_SHUFFLES, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    _written[id(written)] = weakref.ref(written, lambda _, key=id(written): _written.pop(key, None)), path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read again; other tables are left alone."""
+    for df in written:
+        _, path = _written.pop(id(df), (None, None))
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
