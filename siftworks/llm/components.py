@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftworks.shared import materialize
+from siftworks.shared import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -47,8 +47,9 @@ def connected_components(links: DataFrame, label: str = "links") -> DataFrame:
     for i in range(MAX_ROUNDS):
         if not before[0]:
             break
-        links = materialize(_small_star(_large_star(links)), f"{label}-{i + 1}")
+        last, links = links, materialize(_small_star(_large_star(links)), f"{label}-{i + 1}")
         now = state(links)
+        discard(last)
         if now == before:
             break
         before = now

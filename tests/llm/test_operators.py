@@ -230,7 +230,7 @@ def test_secrets(docs, nothing, spark):
 
 def test_secret_base_spans_against_the_patterns(spark):
     """Base counts, digests and order over all texts of a table, by the plain patterns."""
-    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = by_id(secret_scan.scan_secrets(table, secret_scan.train(table)))
     patterns = (
         (r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1),
