@@ -42,8 +42,10 @@ SIZE = len(ALPHABET) + 1
 CODES = np.zeros(256, dtype=np.int32)
 CODES[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
 TOKEN = re.compile("[" + ALPHABET[:-1] + "-]+")
+#: Share of a uniform distribution in both models.
+ANYTHING = 0.05
 #: Nats of the summed ratio above which a run is a secret.
-MARGIN = 24.0
+MARGIN = 14.0
 SAMPLE_ROWS = 2_000
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
@@ -89,7 +91,8 @@ class MarkovPair:
         two = counts.sum(axis=0) + 4 * one
         two = two / two.sum(axis=1, keepdims=True)
         three = counts + 4 * two[None]
-        return np.log(three / three.sum(axis=2, keepdims=True))
+        # a small share of anything caps what one character can weigh
+        return np.log((1 - ANYTHING) * three / three.sum(axis=2, keepdims=True) + ANYTHING / SIZE)
 
     def runs(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and summed ratio of each run of token characters of ASCII or UTF-8 bytes."""
