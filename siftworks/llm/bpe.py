@@ -38,7 +38,7 @@ QUERY_PIECES = 1 << 15
 #: Tokens decoded together; a longer text alone.
 DECODE_TOKENS = 1 << 18
 #: About as many bytes of words and pieces are remembered, twice: those met since the last turnover, and those before.
-RECENT_BYTES = 24 << 20
+RECENT_BYTES = 16 << 20
 #: Bytes of text whose words are encoded together.
 BATCH_BYTES = 4 << 20
 #: DuckDB's memory, and what it may use for each position of one longer piece.
@@ -330,6 +330,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, ids array<int>)."""
     shared = share_vocabulary(docs.sparkSession, vocabulary)
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for part in _runs(batches, "text"):
@@ -345,6 +346,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str = "") -> DataFrame:
     """(doc_id, ids array<int>) as (doc_id, bytes binary); null or empty ids give no bytes."""
     shared = share_vocabulary(encoded.sparkSession, vocabulary)
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for batch in batches:
@@ -359,6 +361,7 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """One row of SCHEMA per row of ``docs`` (doc_id, text): encoded, and decoded again from the ids."""
     shared = share_vocabulary(docs.sparkSession, vocabulary)
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for part in _runs(batches, "text"):

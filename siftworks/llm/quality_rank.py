@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     # at most 2 * max_labelled rows of two numbers
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, "text"):
@@ -183,6 +184,7 @@ def score_documents(docs: DataFrame, model: Ranker) -> DataFrame:
     docs = docs.drop(*clash)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, "text"):

@@ -77,6 +77,7 @@ def repetition_coverage(docs: DataFrame, text: str = "text", id: str = "doc_id")
     """One row per row of ``docs``: SCHEMA, with ``id`` as doc_id. No shuffle."""
     names = [part.split()[0] for part in SCHEMA.split(", ")]
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, "text"):

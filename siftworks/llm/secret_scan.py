@@ -137,6 +137,7 @@ def _teach(text: str) -> tuple[list[str], list[str]]:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> MarkovPair:
     """Learn both models from ``docs`` (doc_id, text)."""
 
+    @bs.released
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, "text"):
@@ -192,6 +193,7 @@ def scan_secrets(docs: DataFrame, model: MarkovPair | None = None, margin: float
     """One row of SCHEMA per row of ``docs`` (doc_id, text)."""
     model = model or train(docs)
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, "text"):
@@ -220,6 +222,7 @@ def redact_secrets(docs: DataFrame, model: MarkovPair, margin: float = MARGIN) -
             at = max(at, e)
         return "".join([*parts, text[at:]]) if at else text
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, "text"):

@@ -64,6 +64,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) per row of ``docs`` (doc_id, text); fp is the fingerprint's bits as a signed integer."""
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, "text"):
@@ -163,6 +164,7 @@ def near_links(unique: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_RO
     within = home.join(F.broadcast(large), "tile").filter("part > 0").selectExpr("fp", "rep", "tile", "explode(sequence(0, part - 1)) part", "1 role")
     laid = home.unionByName(visits).unionByName(within)
 
+    @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: _Tile | None = None
 

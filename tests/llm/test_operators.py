@@ -260,7 +260,7 @@ def test_secrets_of_the_models(spark):
         hit += any(a <= s and s + len(x) <= b for a, _, b in spans)
         other += sum(k == 3 and (a, b) != (s, s + len(x)) for a, k, b in spans)
     n = min(len(texts), len(strings))
-    assert hit >= 0.94 * n and other <= 0.002 * n
+    assert hit >= 0.94 * n and other <= 0.01 * n
     for word in ("internationalization", "getElementById", "path/to/some/file", "=" * 80, "2024-01-01", "0123456789012"):
         assert model.score(word) < secret_scan.MARGIN < model.score("qxzvkjwpqmzxhtrbwvkq")
     # a run ends with its document
