@@ -49,7 +49,9 @@ def parts(text: Column) -> Column:
 
 
 def fingerprint_columns(rows: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
-    """``keys`` and, for each array<string> column of parts, a struct (n long, dense array<long>, lanes array<tinyint>).
+    """``keys`` and, for each array<string> column of parts, a struct (n long, dense array<long>, cells array<int>).
+
+    cells are the small lanes that aren't zero, ascending: 256 times the lane's number, and its value.
 
     ``rows`` must be dealt by a part of ``keys`` already, or they are shuffled: one row per part and lane at most.
     """
@@ -61,17 +63,10 @@ def fingerprint_columns(rows: DataFrame, keys: list[str], arrays: list[str]) ->
     dense = [f"d{i}" for i in range(DENSE)]
     by_slot = exploded.groupBy(*keys, "which", "slot").agg(F.count_if("real").alias("n"), F.sum("small").alias("small"), *[F.sum(d).alias(d) for d in dense])
     of = lambda i, c: F.coalesce(F.sum(F.when(F.col("which") == i, F.col(c))), F.lit(0))
-    cells = F.collect_list(F.when(F.col("which").isNotNull(), F.struct((F.col("which") * LEVELS * LANES + F.col("slot")).alias("k"), (F.col("small") % 256).alias("v"))))
-    sums = by_slot.groupBy(*keys).agg(
-        F.map_from_entries(cells).alias("cells"),
-        *[F.struct(of(i, "n").alias("n"), F.array(*[of(i, d) % (1 << 32) for d in dense]).alias("dense")).alias(f"s{i}") for i in range(len(arrays))],
+    cells = lambda i: F.array_sort(F.collect_list(F.when((F.col("which") == i) & (F.col("small") % 256 != 0), (F.col("slot") * 256 + F.col("small") % 256).cast("int"))))
+    return by_slot.groupBy(*keys).agg(
+        *[F.struct(of(i, "n").alias("n"), F.array(*[of(i, d) % (1 << 32) for d in dense]).alias("dense"), cells(i).alias("cells")).alias(a) for i, a in enumerate(arrays)]
     )
-    empty = F.lit(0)
-    lanes = [
-        F.transform(F.sequence(F.lit(i * LEVELS * LANES), F.lit((i + 1) * LEVELS * LANES - 1)), lambda k: F.coalesce(F.try_element_at("cells", k), empty).cast("short"))
-        for i in range(len(arrays))
-    ]
-    return sums.select(*keys, *[F.struct(f"s{i}.n", f"s{i}.dense", lanes[i].alias("lanes")).alias(a) for i, a in enumerate(arrays)])
 
 
 def to_hex(fp: Column) -> Column:
@@ -79,15 +74,16 @@ def to_hex(fp: Column) -> Column:
     return F.concat(
         word(fp["n"].bitwiseAND(F.lit(_LOW)), 8),
         F.array_join(F.transform(fp["dense"], lambda x: word(x, 8)), ""),
-        F.array_join(F.transform(fp["lanes"], lambda x: word(x.cast("long"), 2)), ""),
+        F.array_join(F.transform(fp["cells"], lambda x: word(x.cast("long"), 5)), ""),
     )
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common parts of two fingerprints, 0 to 1; 1 only for equal fingerprints."""
-    per_level = F.transform(
-        F.sequence(F.lit(LEVELS - 1), F.lit(0)),
-        lambda j: F.size(F.filter(F.zip_with(F.slice(a["lanes"], j * LANES + 1, LANES), F.slice(b["lanes"], j * LANES + 1, LANES), lambda x, y: x != y), lambda d: d)),
+    lanes = F.array_distinct(F.transform(F.concat(F.array_except(a["cells"], b["cells"]), F.array_except(b["cells"], a["cells"])), lambda x: F.shiftright(x, 8)))
+    # in an array of one, so that the differing lanes are found once
+    per_level = F.element_at(
+        F.transform(F.array(lanes), lambda x: F.transform(F.sequence(F.lit(LEVELS - 1), F.lit(0)), lambda j: F.size(F.filter(x, lambda k: F.floor(k / LANES) == j)))), 1
     )
     start = F.struct(F.lit(True).alias("open"), F.lit(0.0).alias("sum"), F.lit(float(1 << LEVELS)).alias("times"))
 

@@ -170,6 +170,23 @@ def test_multiset(docs, nothing, spark):
     assert of[4].fingerprint == of[5].fingerprint and of[4].near_next == 1.0 and of[4].fingerprint != of[12].fingerprint
     assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next)) and of[12].near_edited > 0.3
     assert multiset.edited_likeness(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")).first()["near_next"] == 1.0
+    # brute force: the fields of every text are the sums of its parts' vectors, and a part is deleted or inserted by its vector
+    lines = ["a b c", "d e", "f g h i j k l m n o", "d e", ""]
+    texts = ["\n".join(lines), "\n".join(lines[1:]), lines[0], ""]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("parts", multiset.parts(F.col("text")))
+    fields = {r.id: r.parts for r in multiset.fingerprint_columns(rows_, ["id"], ["parts"]).collect()}
+    vectors = rows_.select("id", F.explode("parts").alias("part")).select("id", *multiset._vector_columns(F.col("part"))).collect()
+    lane = lambda fp: {c >> 8: c & 255 for c in fp.cells}
+    for i in range(len(texts)):
+        own = [v for v in vectors if v.id == i]
+        small = Counter()
+        for v in own:
+            small[v.slot] += v.small
+        assert fields[i].n == len(own) and list(fields[i].dense) == [sum(v[f"d{k}"] for v in own) % (1 << 32) for k in range(multiset.DENSE)]
+        assert lane(fields[i]) == {k: x % 256 for k, x in small.items() if x % 256}
+    added = {k: (lane(fields[1]).get(k, 0) + lane(fields[2]).get(k, 0)) % 256 for k in lane(fields[1]) | lane(fields[2])}
+    assert lane(fields[0]) == {k: x for k, x in added.items() if x}
+    assert list(fields[0].dense) == [(x + y) % (1 << 32) for x, y in zip(fields[1].dense, fields[2].dense)] and fields[3].n == 0
     shuffled = spark.createDataFrame([(1, "one two\nthree four\nfive\n"), (2, "five\nthree four\none two\n")], "doc_id long, text string")
     assert multiset.edited_likeness(shuffled).select("fingerprint").distinct().count() == 1
 
