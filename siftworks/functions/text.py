@@ -98,42 +98,34 @@ def payload_number(c: Column) -> Column:
     return F.nullif(to_number(c), F.lit(0.0))
 
 
+#: Kinds of badges; a badge is of the first kind that fits it.
+KINDS = {"term": TERM, "us_or_international": CITIZENSHIP, "gre_aw": WRITING, "gre_v": VERBAL, "gre": GENERAL, "gpa": GPA}
+
+
+def tag_kinds(tags: Column) -> Column:
+    """array<struct<kind, tag>> of badges; the kind of a dated decision is decision, that of any other badge null."""
+    kept = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != PLACEHOLDER))
+
+    def kind(x: Column) -> Column:
+        found = F.when(x.rlike(TERM), "term")
+        for name, pattern in list(KINDS.items())[1:]:
+            found = found.when(x.rlike(pattern), name)
+        return found.when(x.rlike(DECISION) & (F.regexp_extract(x, DECISION, 2) != ""), "decision")
+
+    return F.transform(kept, lambda x: F.struct(kind(x).alias("kind"), x.alias("tag")))
+
+
+def by_kind(kinds: Column) -> dict[str, Column]:
+    """The value of each kind from ``tag_kinds``: the last badge of a kind counts; other_tags are those of none."""
+    last = lambda name: F.try_element_at(F.filter(kinds, lambda x: x["kind"] == name), F.lit(-1))["tag"]
+    found = {"term": parse_term(last("term")), "us_or_international": parse_citizenship(last("us_or_international"))}
+    found |= {n: to_number(F.regexp_extract(last(n), KINDS[n], 1)) for n in ("gre_aw", "gre_v", "gre", "gpa")}
+    return found | {"other_tags": F.transform(F.filter(kinds, lambda x: x["kind"].isNull()), lambda x: x["tag"])}
+
+
 def classify_tags(tags: Column) -> dict[str, Column]:
-    """Badges by kind; the last badge of a kind counts, and each badge is of the first kind that fits it."""
-    kept = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != PLACEHOLDER))
-    kinds = [("term", TERM), ("us_or_international", CITIZENSHIP), ("gre_aw", WRITING), ("gre_v", VERBAL), ("gre", GENERAL), ("gpa", GPA)]
-    found: dict[str, Column] = {}
-    earlier: list[str] = []
-    for name, pattern in kinds:
-
-        def of_kind(t: Column, pattern: str = pattern, skip: tuple[str, ...] = tuple(earlier)) -> Column:
-            fits = t.rlike(pattern)
-            for p in skip:
-                fits = fits & ~t.rlike(p)
-            return fits
-
-        last = F.try_element_at(_filter(kept, of_kind), F.lit(-1))
-        if name == "term":
-            found[name] = parse_term(last)
-        elif name == "us_or_international":
-            found[name] = parse_citizenship(last)
-        else:
-            found[name] = to_number(F.regexp_extract(last, pattern, 1))
-        earlier.append(pattern)
-    dated = lambda t: t.rlike(DECISION) & (F.regexp_extract(t, DECISION, 2) != "")
-
-    def other(t: Column) -> Column:
-        fits = dated(t)
-        for p in earlier:
-            fits = fits | t.rlike(p)
-        return ~fits
-
-    found["other_tags"] = F.filter(kept, other)
-    return found
-
-
-def _filter(array: Column, test) -> Column:
-    return F.filter(array, lambda t: test(t))
+    """Badges by kind."""
+    return by_kind(tag_kinds(tags))
 
 
 # Words that stay lower-case inside a title, and words that don't tell names apart.

@@ -19,12 +19,16 @@ def clean_records(entries: DataFrame) -> DataFrame:
     listing_json is a JSON text or null; damaged JSON counts as null. Badges win over the page's JSON record.
     """
     c = F.col
-    page = lambda key: F.get_json_object("listing_json", f"$.{key}")
+    page = lambda key: F.try_element_at(c("_page"), F.lit(key))
+    # sorted before anything is computed: the sort's sample then reads ids alone, and the selects below keep the order
+    ordered = entries.orderBy(F.coalesce("result_id", F.lit(0)).desc())
+    # parsed and classified once; what later columns use often is a column of its own
+    entries = ordered.select("*", F.from_json("listing_json", "map<string,string>").alias("_page"), t.tag_kinds(F.col("tags_text")).alias("_kinds"))
     university = prefer_visible(c("school_text"), page("school"))
     program = prefer_visible(c("program_text"), page("program"))
     added = F.coalesce(t.parse_date(prefer_visible(c("date_added_text"), page("added_on_label"))), t.iso_date(page("created_at")))
     status, badge_date = t.split_decision(prefer_visible(c("decision_text"), page("decision_label")))
-    tags = t.classify_tags(c("tags_text"))
+    tags = t.by_kind(c("_kinds"))
     season = t.parse_term(F.concat_ws(" ", t.collapse(page("season")), t.collapse(page("year"))))
     exact = t.iso_date(page("date_of_notification"))
     staged = entries.select(
@@ -58,7 +62,7 @@ def clean_records(entries: DataFrame) -> DataFrame:
             page("date_of_notification").alias("date_of_notification"), c("scraped_at").alias("scraped_at"),
         ).alias("raw"),
     )
-    return cleaned.orderBy(F.coalesce("result_id", F.lit(0)).desc())
+    return cleaned
 
 
 def plain_text(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftworks.functions import text as t
+from siftworks.shared import materialize
 
 PROGRAM_CUTOFF, UNIVERSITY_CUTOFF, WORDS_CUTOFF, SOURCE_CUTOFF = 0.84, 0.86, 0.8, 0.7
 
@@ -67,11 +68,6 @@ def canon_exact(names: DataFrame, canon: DataFrame, column: str = "name") -> Dat
     return names.join(canon.select(F.col("name").alias(column)), column, "left_semi")
 
 
-def _distinctive(name: str) -> str:
-    words = [w for w in "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in name.lower()).split()]
-    return " ".join([w for w in words if w not in t.GENERIC_WORDS] or words)
-
-
 def fuzzy_canon(names: DataFrame, canon: DataFrame, cutoff: float, column: str = "name") -> DataFrame:
     """(name, match) of each distinct name with a canonical one near enough; names without one are absent.
 
@@ -85,21 +81,24 @@ def fuzzy_canon(names: DataFrame, canon: DataFrame, cutoff: float, column: str =
     low, high = F.ceil(F.col("n") * cutoff / (2 - cutoff) - 1e-9), F.floor(F.col("n") * (2 - cutoff) / cutoff + 1e-9)
     probes = distinct.select("name", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("n"))
 
+    def likeness(a: str, b: str) -> float:
+        return difflib.SequenceMatcher(None, a, b).ratio()
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             matcher, last = difflib.SequenceMatcher(), None
-            for name, candidate in zip(batch["name"], batch["candidate"], strict=True):
+            for name, candidate, own, other in zip(batch["name"], batch["candidate"], batch["name_words"], batch["candidate_words"], strict=True):
                 if name != last:
                     matcher.set_seq2(name)
                     last = name
                 matcher.set_seq1(candidate)
                 if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (r := matcher.ratio()) >= cutoff:
-                    words = difflib.SequenceMatcher(None, _distinctive(name), _distinctive(candidate)).ratio()
-                    rows.append((name, candidate, r, words >= WORDS_CUTOFF))
+                    rows.append((name, candidate, r, likeness(own, other) >= WORDS_CUTOFF))
             yield pd.DataFrame(rows, columns=["name", "candidate", "ratio", "fits"])
 
-    scored = probes.join(lengths, "n").select("name", "candidate").mapInPandas(score, "name string, candidate string, ratio double, fits boolean")
+    pairs = probes.withColumn("name_words", t.distinctive(F.col("name"))).join(lengths.withColumn("candidate_words", t.distinctive(F.col("candidate"))), "n")
+    scored = pairs.select("name", "candidate", "name_words", "candidate_words").mapInPandas(score, "name string, candidate string, ratio double, fits boolean")
     order = F.struct("ratio", "candidate", "fits")
     top = scored.groupBy("name").agg(F.slice(F.sort_array(F.collect_list(order), asc=False), 1, 3).alias("top"))
     hit = F.try_element_at(F.filter("top", lambda x: x["fits"]), F.lit(1))["candidate"]
@@ -128,12 +127,14 @@ def normalize_university(names: DataFrame, aliases: DataFrame, canon: DataFrame)
     return found.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown")))
 
 
-def prefer_source(answers: DataFrame, known: DataFrame, column: str) -> DataFrame:
+def prefer_source(answers: DataFrame, known: DataFrame, column: str, normalized: DataFrame | None = None) -> DataFrame:
     """``answers`` (text, column) with an unknown answer replaced by the part of the text most like it (first of the best).
 
-    A known part counts as equal; below ``SOURCE_CUTOFF`` the answer stays. known: (name).
+    An answer is known if it or what it is normalized to (normalized: original, name) is in known (name). A known part counts as
+    equal; below ``SOURCE_CUTOFF`` the answer stays.
     """
-    marked = answers.join(known.select(F.col("name").alias(column), F.lit(True).alias("_known")).distinct(), column, "left")
+    good = known.select("name") if normalized is None else known.select("name").unionByName(normalized.join(known, "name", "left_semi").select(F.col("original").alias("name")))
+    marked = answers.join(good.select(F.col("name").alias(column), F.lit(True).alias("_known")).distinct(), column, "left")
     open_ = marked.filter(F.col("_known").isNull() & (F.col(column) != "")).select("text", column)
     parts = open_.select("text", column, F.posexplode(t.source_parts(F.col("text"))).alias("at", "part"))
     with_known = parts.join(known.select(F.col("name").alias("part"), F.lit(True).alias("_known")).distinct(), "part", "left")
@@ -162,8 +163,10 @@ def standardize_names(
 
     programs and universities are (aliases, canon) tables.
     """
-    answers = merge_answers(cache, scorer(pending_texts(rows, cache, column, sequence)))
-    answers = prefer_source(prefer_source(answers, programs[1], "program"), universities[1], "university")
+    # written down: one row per distinct text, which the steps below read again and again
+    answers = materialize(merge_answers(cache, scorer(pending_texts(rows, cache, column, sequence))), "answers")
+    for column_, normalize, tables in (("program", normalize_program, programs), ("university", normalize_university, universities)):
+        answers = prefer_source(answers, tables[1], column_, normalize(answers.select(F.col(column_).alias("name")), *tables))
     program = normalize_program(answers.select(F.col("program").alias("name")), *programs).select(F.col("original").alias("program"), F.col("name").alias("_p"))
     university = normalize_university(answers.select(F.col("university").alias("name")), *universities).select(F.col("original").alias("university"), F.col("name").alias("_u"))
     final = answers.join(program, "program", "left").join(university, "university", "left").select("text", F.col("_p").alias("program"), F.col("_u").alias("university"))

@@ -108,7 +108,7 @@ def queries() -> dict:
         "predicates": on(_predicates),
         "format_answers": on(formats.format_answers),
         "snapshot_payload": on(formats.snapshot_payload),
-        "search": on(lambda t: search.search(t, search.parse_request(SEARCH_ARGS))),
+        "search": on(lambda t: search.search(t, search.check_arguments(SEARCH_ARGS))),
         "fetch_newest": on(lambda t: search.fetch_newest(t, 100)),
     }
     return found

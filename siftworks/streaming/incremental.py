@@ -37,11 +37,6 @@ def resume_ranges(entries: DataFrame, pending: DataFrame, budget: int) -> DataFr
     return entries.join(pages, "page_no", "left_semi")
 
 
-def next_watermark(stored: int | None, batch_max: int | None) -> int | None:
-    """Never backwards; none if there is no data."""
-    return max((x for x in (stored, batch_max) if x is not None), default=None)
-
-
 @dataclass
 class VersionedStore:
     """Rows, mark and snapshot of one version lie in one folder; a pointer row written last makes them current together.
@@ -89,8 +84,9 @@ def apply_batch(store: VersionedStore, batch: DataFrame, batch_id: int) -> None:
     fresh = dedupe_first(fresh, "p_id", "date_added")
     if stored is not None:
         fresh = stored.unionByName(fresh.join(stored.select("p_id"), "p_id", "left_anti"))
-    top = batch.agg(F.max("p_id").alias("m")).first()["m"]
-    store.publish(version, batch_id, fresh, next_watermark(mark, top))
+    # greatest passes over nulls: the mark never falls, and there is none without data
+    last_seen = batch.agg(F.greatest(F.max("p_id").cast("long"), F.lit(mark).cast("long")).alias("last_seen")).first()["last_seen"]
+    store.publish(version, batch_id, fresh, last_seen)
 
 
 def incremental_pull(spark: SparkSession, source: str, schema, root: str, checkpoint: str) -> VersionedStore:
