@@ -74,36 +74,46 @@ class VersionedStore:
         self.spark.createDataFrame([(version, seq)], "version string, seq long").coalesce(1).write.mode("append").json(f"{self.root}/pointers")
 
 
-def apply_batch(store: VersionedStore, batch: DataFrame, batch_id: int) -> None:
-    """One micro-batch: rows above the mark, first of each id, not stored yet, published with mark and snapshot."""
+def apply_batch(store: VersionedStore, batch: DataFrame, batch_id: int, since: int | None = None) -> None:
+    """One micro-batch: rows above the mark, first of each id, not stored yet, published with mark and snapshot.
+
+    Without a mark the newest stored id takes its place. ``since`` reads from there instead; by itself it moves no mark.
+    """
     version = f"batch-{batch_id:09d}"
     if store.current() == version:
         return
     stored, mark = store.read("applicants"), store.watermark()
-    fresh = batch.filter("p_id is not null") if mark is None else batch.filter(F.col("p_id") > mark)
+    if mark is None and stored is not None:
+        mark = stored.agg(F.max("p_id")).first()[0]
+    start = mark if since is None else since
+    fresh = batch.filter("p_id is not null") if start is None else batch.filter(F.col("p_id") > start)
+    # greatest passes over nulls: the mark never falls, and there is none without data
+    last_seen = fresh.agg(F.greatest(F.max("p_id").cast("long"), F.lit(mark).cast("long")).alias("last_seen")).first()["last_seen"]
     fresh = dedupe_first(fresh, "p_id", "date_added")
     if stored is not None:
         fresh = stored.unionByName(fresh.join(stored.select("p_id"), "p_id", "left_anti"))
-    # greatest passes over nulls: the mark never falls, and there is none without data
-    last_seen = batch.agg(F.greatest(F.max("p_id").cast("long"), F.lit(mark).cast("long")).alias("last_seen")).first()["last_seen"]
     store.publish(version, batch_id, fresh, last_seen)
 
 
 def incremental_pull(spark: SparkSession, source: str, schema, root: str, checkpoint: str) -> VersionedStore:
-    """Read the new Parquet files below ``source`` as a stream, one file a batch, until there are no more."""
+    """Read the new Parquet files below ``source`` as a stream, all that are there as one batch, until there are no more."""
     store = VersionedStore(spark, root)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(lambda b, i: apply_batch(store, b, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return store
 
 
-# Kinds of messages, and the payload fields that must be whole numbers.
+# Kinds of messages, and the payload fields that they may have.
 KINDS = ("scrape_new_data", "recompute_analytics")
+FIELDS = ("since",)
+
 
+def route_messages(messages: DataFrame, kinds: tuple[str, ...] = KINDS, column: str = "body", fields: tuple[str, ...] | None = FIELDS) -> DataFrame:
+    """``messages`` with kind and reject_reason (null: good). Works on streams and tables.
 
-def route_messages(messages: DataFrame, kinds: tuple[str, ...] = KINDS, column: str = "body") -> DataFrame:
-    """``messages`` with kind and reject_reason (null: good). Works on streams and tables."""
+    A payload with a field that is not in ``fields`` is refused (None: any field may be there).
+    """
     body = F.col(column)
     parsed = F.try_variant_get(F.try_parse_json(body), "$", "map<string, variant>")
     kind = F.try_variant_get(F.try_parse_json(body), "$.kind", "string")
@@ -115,6 +125,7 @@ def route_messages(messages: DataFrame, kinds: tuple[str, ...] = KINDS, column:
         .when(parsed.isNull(), "not an object")
         .when(kind.isNull() | ~kind.isin(*kinds), "unknown kind")
         .when(payload.isNotNull() & ~payload.startswith("{"), "payload")
+        .when(F.size(F.array_except(F.json_object_keys(payload), F.array(*map(F.lit, fields)))) > 0 if fields else F.lit(False), "unknown field")
         .when(since.isNotNull() & ~(since.rlike(r"^\d{1,10}$") & (since.try_cast("long") < 2**31)), "since")
     )
     return messages.withColumns({"kind": kind, "reject_reason": reason})

@@ -165,7 +165,7 @@ def test_rules_and_cursor(spark):
 def test_messages(spark):
     bodies = {'{"kind":"scrape_new_data","payload":{"since":5}}': None, '{"kind":"recompute_analytics"}': None, "x": "not json", "[1]": "not an object", '"s"': "not an object",
               "{}": "unknown kind", '{"kind":["a"]}': "unknown kind", '{"kind":"scrape_new_data","payload":[1]}': "payload", '{"kind":"scrape_new_data","payload":{"since":-1}}': "since",
-              '{"kind":"scrape_new_data","payload":{"since":2147483648}}': "since", None: "size", '"' + "a" * 70000 + '"': "size"}
+              '{"kind":"scrape_new_data","payload":{"since":2147483648}}': "since", '{"kind":"scrape_new_data","payload":{"sinse":5}}': "unknown field", None: "size", '"' + "a" * 70000 + '"': "size"}
     df = inc.route_messages(spark.createDataFrame([(b,) for b in bodies], "body string"))
     assert {r["body"]: r["reject_reason"] for r in df.collect()} == bodies
 
@@ -191,3 +191,19 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert store.read("applicants").count() == 2
     inc.apply_batch(store, batch.withColumn("p_id", F.lit(1)), 2)
     assert store.read("applicants").count() == 2 and store.watermark() == 4
+
+
+def _applicants(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "p_id int").select("p_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], SCHEMA).schema.fields[1:]])
+
+
+def test_where_a_pull_starts(spark, tmp_path):
+    store = inc.VersionedStore(spark, str(tmp_path))
+    stored = lambda: sorted(r["p_id"] for r in store.read("applicants").collect())
+    store.publish("loaded", -1, _applicants(spark, 13, 14, 15), None)
+    inc.apply_batch(store, _applicants(spark, 12, 15, 17), 0)  # no mark yet: the newest stored id
+    assert stored() == [13, 14, 15, 17] and store.watermark() == 17
+    inc.apply_batch(store, _applicants(spark, 10, 11, 12, 13), 1, since=11)
+    assert stored() == [12, 13, 14, 15, 17] and store.watermark() == 17
+    inc.apply_batch(store, _applicants(spark, 18, 19), 2, since=1000)
+    assert stored() == [12, 13, 14, 15, 17] and store.watermark() == 17
