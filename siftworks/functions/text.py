@@ -171,17 +171,20 @@ def source_parts(c: Column) -> Column:
     return F.concat(parts, F.flatten(joins))
 
 
+# Patterns of whole school names, and what they stand for.
+SPLIT_SCHOOLS = (
+    (r"(?i)^mcg(ill)?(\.)?$", "McGill University"),
+    (r"(?i)^(ubc|u\.?b\.?c\.?|university of british columbia)$", "University of British Columbia"),
+)
+
+
 def rule_split(c: Column) -> tuple[Column, Column]:
     """(program, university) of a text by its separators; the university is Unknown if there is none."""
     text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
     text = F.regexp_replace(text, "^,+|,+$", "")
     parts = F.filter(F.transform(F.split(text, ",| at | @ "), lambda x: F.trim(x)), lambda x: x != "")
     university = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
-    university = (
-        F.when(university.rlike(r"(?i)^mcg(ill)?(\.)?$"), "McGill University")
-        .when(university.rlike(r"(?i)^(ubc|u\.?b\.?c\.?|university of british columbia)$"), "University of British Columbia")
-        .otherwise(university)
-    )
+    university = F.coalesce(*[F.when(university.rlike(pattern), full) for pattern, full in SPLIT_SCHOOLS], university)
     named = F.regexp_replace(title(university), r"\bOf\b", "of")
     return title(F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))), F.when(university == "", "Unknown").otherwise(named)
 
