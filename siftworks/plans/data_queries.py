@@ -349,6 +349,11 @@ def oracle_sql() -> dict[str, str]:
         "where o_orderkey > floor(m * 0.97) and (m - o_orderkey) // 20 < 50",
         "resume_pages": "select cast(o_orderkey as int) as result_id, cast((m - o_orderkey) // 20 + 1 as int) as page_no from orders, (select max(o_orderkey) as m from orders) "
         "where o_orderkey > floor(m * 0.97)",
+        "route_tasks": """with messages as (select case when event_id % 10 = 0 then left(body, 12) else body end as body
+            from (select event_id, '{"kind":"' || event_type || '","payload":' || coalesce(props, '{}') || '}' as body from events)),
+            kinds as (select body, case when json_valid(body) then body ->> '$.kind' end as kind, case when json_valid(body) then json_type(body, '$.payload') end as payload from messages)
+            select kind, case when body is null then 'size' when not json_valid(body) then 'not json' when kind not in ('click', 'view', 'purchase') then 'unknown kind'
+            when payload <> 'OBJECT' then 'payload' end as reject_reason, count(*) as n from kinds group by all""",
         "incremental_pull": with_sql("select p_id, program, gpa, (select max(p_id) from applicants)::bigint as last_seen from applicants"),
         "parse_dates": with_sql(f"select p_id as result_id, date_added as added, date_added as decided, {_STATUS} as status from applicants"),
         "clean_text": r"select doc_id, nullif(trim(regexp_replace(text, '[\s]+', ' ', 'g')), '') as flat from documents",
