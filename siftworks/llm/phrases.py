@@ -1,8 +1,9 @@
 """Substring dedup by repeated-phrase automata.
 
 A window is ``n`` consecutive words of one document. A word goes if a window covers it whose word sequence also starts
-in a document with a smaller id. Documents are dealt into shards of whole documents by a hash of their id; every
-later step sends only short digests between shards:
+in a document with a smaller id. Documents are dealt into shards of whole documents by a hash of id and text, so that rows
+of one id don't meet in one task; there are as many shards as keep one at about ``SHARD_BYTES``. Every later step sends
+only short digests between shards:
 
 1. Each shard lists the 40-bit hashes of its windows, packed and sorted; a reducer per hash range marks those seen
    in two documents or more and answers each list with a bit map. What is left are the candidates.
@@ -30,8 +31,10 @@ from siftworks.llm import bytescan as bs
 from siftworks.shared import materialize, shuffle_partitions
 
 WINDOW = 13
-#: Shards of documents for each shuffle partition.
+#: Shards of documents for each shuffle partition, at least.
 SHARDS_PER_PARTITION = 2
+#: Text of one shard, about; a shard's texts and word hashes are held by one task.
+SHARD_BYTES = 32 << 20
 #: Phrases in one automaton: about 120 bytes for each of their words.
 AUTOMATON_PHRASES = 80_000
 HASH_BITS = 40
@@ -209,10 +212,10 @@ def remove_repeated_phrases(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row of SCHEMA, with kept_text, per row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ranges = shuffle_partitions(spark)
-    shards = SHARDS_PER_PARTITION * ranges
-    # the text moves once; the three steps below read the same exchange
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS_PER_PARTITION * ranges, -(-size // SHARD_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+        "shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
     )
     dealt = dealt.repartition("shard")
 
