@@ -208,8 +208,11 @@ def rule_pattern(pattern: Column) -> Column:
 
 
 def url_rules(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """(path, allowed): the longest matching rule of the agent's group (rules: agent, pattern, allow), ties allow, none allows."""
-    own = rules.filter(F.lower("agent") == agent.lower())
+    """(path, allowed): the longest matching rule of the agent's group (rules: agent, pattern, allow), ties allow, none allows.
+
+    A rule is the agent's if its name, in any case, is a part of the agent's own; rules for * count only where there is no such rule.
+    """
+    own = rules.filter((F.col("agent") != "*") & F.lower(F.lit(agent)).contains(F.lower("agent")))
     group = own.unionByName(rules.filter("agent = '*'").join(own.select(F.lit(1)).limit(1), how="left_anti"))
     compiled = group.filter("pattern <> ''").select("allow", F.char_length("pattern").alias("n"), rule_pattern(F.col("pattern")).alias("rx"))
     listed = compiled.agg(F.collect_list(F.struct("n", "allow", "rx")).alias("rules"))  # a site's rule table: one small row
