@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftworks.llm import bpe, chat, mixing, multiset, phrases, quality_rank, repetition, secret_scan, simhash, warc
+from siftworks.llm import bpe, chat, collisions, mixing, multiset, phrases, quality_rank, repetition, secret_scan, simhash, vector_codes, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated_phrases(_read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.nearest_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(_read(spark, sf_dir, "embeddings"))
+
+
 #: Rows by turn; the template of chat.py spelled out.
 OP5_SQL = r"""
 with rows as (
@@ -191,12 +203,47 @@ from sizes s join budgets b on s.source is not distinct from b.source join limit
 """
 
 
+def op13_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Every component of every part against every entry, in each round."""
+    steps = [f"""
+kept as (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda v: floor(v::double * 256)::bigint) as x, len(embedding) // {parts} as width
+  from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda v: coalesce(isfinite(v), false))) = len(embedding)
+), flat as (
+  select r, (i - 1) // width as part, (i - 1) % width as pos, x[i] as v from (select r, x, width, unnest(range(1, len(x) + 1)) as i from kept)
+), book0 as (
+  select (i - 1) // width as part, entry, (i - 1) % width as pos, x[i] as v
+  from (select x, width, entry, unnest(range(1, len(x) + 1)) as i from (select x, width, row_number() over (order by vec_id, x) - 1 as entry from kept) where entry < {entries})
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} as (
+  select r, part, min({{'d': d, 'entry': entry}}) as m from (
+    select f.r, f.part, b.entry, sum((f.v - b.v) * (f.v - b.v))::bigint as d from flat f join book{k} b on f.part = b.part and f.pos = b.pos group by all
+  ) group by r, part
+)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} as (
+  select b.part, b.entry, b.pos, coalesce(m.v, b.v) as v from book{k} b left join (
+    select f.part, n.m.entry as entry, f.pos, ((sum(f.v) - ((sum(f.v) % count(*)) + count(*)) % count(*)) // count(*))::bigint as v
+    from flat f join near{k} n on f.r = n.r and f.part = n.part group by all
+  ) m on b.part = m.part and b.entry = m.entry and b.pos = m.pos
+)""")
+    return "with" + ", ".join(steps) + f""", coded as (
+  select r, string_agg(printf('%02x', m.entry), '' order by part) as code, sum(m.d)::bigint as error from near{rounds} group by r
+), digest as (
+  select sha256(string_agg(v::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from book{rounds}
+)
+select k.vec_id, c.code, c.error, sum(c.error) over (partition by k.label)::bigint as label_error, g.codebooks_sha256
+from kept k join coded c on k.r = c.r, digest g
+"""
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_quality_rank, op2_warc_chunks, op3_byte_bpe, op4_repetition_coverage, op5_chat_format, op6_multiset_fingerprint,
-            op7_simhash_components, op8_secret_scan, op9_mix_sources, op10_phrase_automata,
+            op7_simhash_components, op8_secret_scan, op9_mix_sources, op10_phrase_automata, op11_whitening, op12_collision_search, op13_cover_tree_codes,
         )
     }
 
@@ -204,5 +251,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_chunks": OP2_SQL, "op4_repetition_coverage": op4_sql(), "op5_chat_format": OP5_SQL, "op9_mix_sources": op9_sql(),
-        "op10_phrase_automata": OP10_SQL,
+        "op10_phrase_automata": OP10_SQL, "op13_cover_tree_codes": op13_sql(),
     }
