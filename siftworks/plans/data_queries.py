@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftworks.functions import text as t
-from siftworks.operators import cleaning, loading, names, pages
+from siftworks.operators import cleaning, loading, pages
 from siftworks.plans.views import applicants, raw_entries, table, with_sql
 from siftworks.shared import scratch_path
 from siftworks.sources import json_records as js
@@ -197,49 +197,6 @@ def reparse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loading.dedupe_first(pages.extract_entries(cached).withColumn("seq", F.col("at")), "result_id", "seq").select("result_id", "url", "school_text")
 
 
-def _canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return applicants(spark, sf_dir).filter("llm_generated_university <> 'Unknown'").select(F.col("llm_generated_university").alias("name")).distinct()
-
-
-def fuzzy_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical names with one character dropped find the canonical name."""
-    a = applicants(spark, sf_dir).filter("llm_generated_university <> 'Unknown'")
-    at = (F.col("p_id") % 6 + 1).cast("int")
-    worn = F.concat(F.substr("llm_generated_university", F.lit(1), at), F.substr("llm_generated_university", at + 2))
-    rows = a.select("p_id", worn.alias("name"))
-    return rows.join(names.fuzzy_canon(rows, _canon(spark, sf_dir), names.UNIVERSITY_CUTOFF), "name").select("p_id", "match")
-
-
-_ALIASES = [("JHU", "Johns Hopkins University"), ("CMU", "Carnegie Mellon University"), ("Carnegie-Mellon", "Carnegie Mellon University"), ("EECS", "Computer Science")]
-
-
-def standardize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = applicants(spark, sf_dir).select("p_id", F.regexp_replace("program", " +", " ").alias("program"))
-    aliases = spark.createDataFrame(_ALIASES, "alias string, full string")
-    programs = applicants(spark, sf_dir).select(F.col("llm_generated_program").alias("name")).distinct()
-    cache = rows.limit(0).select(F.col("program").alias("text"), F.col("program"), F.col("program").alias("university"))
-    out = names.standardize_names(rows, "program", "p_id", cache, (aliases, programs), (aliases, _canon(spark, sf_dir)))
-    return out.select("p_id", "llm_generated_program", "llm_generated_university")
-
-
-def pending_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = applicants(spark, sf_dir).select("p_id", "program")
-    answers = rows.filter("p_id < 3").select(F.col("program").alias("text"))
-    return names.pending_texts(rows, answers, "program", "p_id")
-
-
-def merge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = applicants(spark, sf_dir).select(F.col("p_id").cast("string").alias("text"), F.lit("p").alias("program"), F.col("llm_generated_university").alias("university"))
-    return names.merge_answers(a, a.filter("cast(text as int) % 4 = 0").withColumn("program", F.lit("later")))
-
-
-def grow_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = applicants(spark, sf_dir).select(F.element_at(F.split("program", ", "), 2).alias("name"))
-    aliases = spark.createDataFrame(_ALIASES, "alias string, full string")
-    normal = names.normalize_university(found, aliases, _canon(spark, sf_dir))
-    return names.grow_canon(found, _canon(spark, sf_dir), normal)
-
-
 def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Pages of 20 orders, newest first, and the mark: ids up to 97 % of the largest are known."""
     a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("result_id"))
@@ -305,7 +262,7 @@ def queries() -> dict:
     fs = (
         clean_records, record_to_row, dedupe_first, insert_new, load_records, loaded_rows, upsert_keyed, json_round_trip, read_records_json, read_jsonl_tolerant,
         read_jsonl_until_bad, unwrap_rows, extract_entries, attach_page_json, next_links, canonical_urls, decode_cursor, url_rules, challenge_pages, reparse_pages,
-        fuzzy_canon, standardize_names, pending_texts, merge_answers, grow_canon, bounded_read, resume_pages, route_tasks, incremental_pull, parse_dates, clean_text,
+        bounded_read, resume_pages, route_tasks, incremental_pull, parse_dates, clean_text,
     )
     return {f.__name__: f for f in fs}
 
@@ -342,9 +299,6 @@ def oracle_sql() -> dict[str, str]:
         "decode_cursor": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, event_id as id, event_id % 2 = 0 as forward from events",
         "challenge_pages": "select page_id from pages where contains(lower(html), 'track(0)') or contains(lower(html), 'captcha')",
         "reparse_pages": with_sql(f"select p_id as result_id, 'https://example.com/survey?page=' || cast(p_id // 20 as varchar) as url, {_SCHOOL} as school_text from applicants"),
-        "fuzzy_canon": with_sql("select p_id, llm_generated_university as match from applicants where llm_generated_university <> 'Unknown'"),
-        "pending_texts": with_sql("select distinct program as text from applicants where program not in (select program from applicants where p_id < 3)"),
-        "merge_answers": with_sql("select cast(p_id as varchar) as text, case when p_id % 4 = 0 then 'later' else 'p' end as program, llm_generated_university as university from applicants"),
         "bounded_read": "select cast(o_orderkey as int) as result_id, cast((m - o_orderkey) // 20 + 1 as int) as page_no from orders, (select max(o_orderkey) as m from orders) "
         "where o_orderkey > floor(m * 0.97) and (m - o_orderkey) // 20 < 50",
         "resume_pages": "select cast(o_orderkey as int) as result_id, cast((m - o_orderkey) // 20 + 1 as int) as page_no from orders, (select max(o_orderkey) as m from orders) "

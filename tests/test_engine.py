@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from siftworks.functions import formats
 from siftworks.functions import text as t
-from siftworks.operators import analysis, cleaning, loading, names, pages, search
+from siftworks.operators import analysis, cleaning, loading, pages, search
 from siftworks.plans.views import SCHEMA
 from siftworks.streaming import incremental as inc
 
@@ -146,14 +146,6 @@ def test_search_arguments(spark):
     assert ids(sort="gpa", order="asc") == [3, 2, 1] and ids(sort="gpa") == [2, 3, 1]
 
 
-def test_names(spark):
-    canon = spark.createDataFrame([("University of Marlo",), ("Stanford University",)], "name string")
-    got = names.fuzzy_canon(spark.createDataFrame([("University of Mayra",), ("Stanfrd University",), ("",), (None,)], "name string"), canon, 0.86)
-    assert [tuple(r) for r in got.collect()] == [("Stanfrd University", "Stanford University")]
-    answers = spark.createDataFrame([("Law, University of Mayra", "University of Mayyra"), ("x", "Unrelated")], "text string, university string")
-    assert {r["text"]: r["university"] for r in names.prefer_source(answers, canon, "university").collect()} == {"Law, University of Mayra": "University of Mayra", "x": "Unrelated"}
-
-
 def test_rules_and_cursor(spark):
     rules = spark.createDataFrame([("*", "/private", False), ("*", "/private/open$", True), ("bot", "/", False)], "agent string, pattern string, allow boolean")
     paths = spark.createDataFrame([("/private/x",), ("/private/open",), ("/a",)], "path string")
