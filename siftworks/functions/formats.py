@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,16 +58,15 @@ def format_answers(t: DataFrame) -> DataFrame:
 
 
 def snapshot_payload(t: DataFrame) -> DataFrame:
-    """One row: payload, a JSON text of the summary and all answers as lists of texts (nulls as the missing text)."""
-    text = lambda df: df.select(
-        F.to_json(F.collect_list(F.array(*[F.coalesce(F.col(x).cast("string"), F.lit(MISSING)) for x in df.columns]))).alias("rows")
-    )
-    parts = [(k, analysis.QUESTIONS[k](t)) for k in ("q10", "q11")]
-    tables = [text(df).select(F.lit(k).alias("key"), F.array(*map(F.lit, df.columns)).alias("columns"), "rows") for k, df in parts]
-    grouped = reduce(DataFrame.unionByName, tables).agg(F.sort_array(F.collect_list(F.struct("key", "columns", "rows"))).alias("tables"))
+    """One row: payload, a JSON text of the summary and of all answers: number, lines (label, value), columns and table, lists of texts (nulls as the missing text)."""
+    flat = lambda df: df.select(F.array(*[F.coalesce(F.col(x).cast("string"), F.lit(MISSING)) for x in df.columns]).alias("cells"))
+    texts, grid = "array<array<string>>", "array<string>"
     lines = format_answers(t).groupBy("number").agg(F.collect_list(F.array("label", "value")).alias("lines"))
-    answers = lines.agg(F.sort_array(F.collect_list(F.struct("number", "lines"))).alias("answers"))
-    whole = analysis.summary(t).crossJoin(answers).crossJoin(grouped)  # one row each
-    return whole.select(
-        F.to_json(F.struct(F.struct("total_entries", F.col("newest_entry").cast("string").alias("newest_entry")).alias("summary"), "answers", "tables")).alias("payload")
-    )
+    answers = lines.select("number", "lines", F.array().cast(grid).alias("columns"), F.array().cast(texts).alias("table"))
+    for number, key in ((10, "q10"), (11, "q11")):
+        df = analysis.QUESTIONS[key](t)  # few rows, in order
+        table = flat(df).agg(F.collect_list("cells").alias("table"))
+        answers = answers.unionByName(table.select(F.lit(number).alias("number"), F.array().cast(texts).alias("lines"), F.array(*map(F.lit, df.columns)).alias("columns"), "table"))
+    listed = answers.agg(F.sort_array(F.collect_list(F.struct("number", "lines", "columns", "table"))).alias("answers"))
+    whole = analysis.summary(t).crossJoin(listed)  # one row each
+    return whole.select(F.to_json(F.struct(F.struct("total_entries", F.col("newest_entry").cast("string").alias("newest_entry")).alias("summary"), "answers")).alias("payload"))

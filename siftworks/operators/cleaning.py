@@ -14,16 +14,20 @@ def prefer_visible(visible: Column, other: Column, lines: bool = False) -> Colum
 
 
 def clean_records(entries: DataFrame) -> DataFrame:
-    """Cleaned records of raw entries, newest id first (a missing id counts as 0).
+    """Cleaned records of raw entries, newest id first (a missing id counts as 0)."""
+    # sorted before anything is computed: the sort's sample then reads ids alone, and the selects keep the order
+    return clean_entries(entries.orderBy(F.coalesce("result_id", F.lit(0)).desc()))
+
+
+def clean_entries(entries: DataFrame, *keep: str) -> DataFrame:
+    """Cleaned records of raw entries in any order, and the columns ``keep``. Works on streams and tables.
 
     listing_json is a JSON text or null; damaged JSON counts as null. Badges win over the page's JSON record.
     """
     c = F.col
     page = lambda key: F.try_element_at(c("_page"), F.lit(key))
-    # sorted before anything is computed: the sort's sample then reads ids alone, and the selects below keep the order
-    ordered = entries.orderBy(F.coalesce("result_id", F.lit(0)).desc())
     # parsed and classified once; what later columns use often is a column of its own
-    entries = ordered.select("*", F.from_json("listing_json", "map<string,string>").alias("_page"), t.tag_kinds(F.col("tags_text")).alias("_kinds"))
+    entries = entries.select("*", F.from_json("listing_json", "map<string,string>").alias("_page"), t.tag_kinds(F.col("tags_text")).alias("_kinds"))
     university = prefer_visible(c("school_text"), page("school"))
     program = prefer_visible(c("program_text"), page("program"))
     added = F.coalesce(t.parse_date(prefer_visible(c("date_added_text"), page("added_on_label"))), t.iso_date(page("created_at")))
@@ -61,6 +65,7 @@ def clean_records(entries: DataFrame) -> DataFrame:
             F.coalesce("tags_text", F.array().cast("array<string>")).alias("tags"), c("comment_text").alias("comment"),
             page("date_of_notification").alias("date_of_notification"), c("scraped_at").alias("scraped_at"),
         ).alias("raw"),
+        *keep,
     )
     return cleaned
 

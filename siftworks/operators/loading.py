@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from siftworks.operators.cleaning import record_to_row
 
 
+#: The table of applicants.
+ROW_SCHEMA = (
+    "p_id int, program string, comments string, date_added date, url string, status string, term string, us_or_international string, "
+    "gpa double, gre double, gre_v double, gre_aw double, degree string, llm_generated_program string, llm_generated_university string"
+)
+
+
 def dedupe_first(batch: DataFrame, key: str, sequence: str) -> DataFrame:
     """Of rows with one key the one with the smallest ``sequence``. Rows with a null key all stay."""
     # an aggregate before the shuffle keeps a hot key small

@@ -13,7 +13,6 @@ from siftworks.operators import cleaning, loading, pages
 from siftworks.plans.views import applicants, raw_entries, table, with_sql
 from siftworks.shared import scratch_path
 from siftworks.sources import json_records as js
-from siftworks.streaming import incremental as inc
 
 _PROGRAM = "regexp_replace(program, ' +', ' ', 'g')"
 _STATUS = "case trim(status) when 'Wait listed' then 'Waitlisted' else trim(status) end"
@@ -197,54 +196,6 @@ def reparse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loading.dedupe_first(pages.extract_entries(cached).withColumn("seq", F.col("at")), "result_id", "seq").select("result_id", "url", "school_text")
 
 
-def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Pages of 20 orders, newest first, and the mark: ids up to 97 % of the largest are known."""
-    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("result_id"))
-    top = a.agg(F.max("result_id").alias("m")).first()["m"]
-    return a.withColumn("page_no", (F.floor((F.lit(top) - F.col("result_id")) / 20) + 1).cast("int")), int(top * 0.97)
-
-
-def bounded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first pull: as many pages as the cap allows."""
-    entries, mark = _order_pages(spark, sf_dir)
-    return inc.bounded_read(entries, mark)[0].select("result_id", "page_no")
-
-
-def resume_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first pull, and the pages that it left for later, so that every id above the mark is read."""
-    entries, mark = _order_pages(spark, sf_dir)
-    first, state = inc.bounded_read(entries, mark)
-    last = entries.filter(F.col("result_id") > mark).agg(F.max("page_no").alias("last"))
-    pending = state.filter("resume_page is not null").select(F.col("resume_page").alias("first")).join(last, F.col("last") >= F.col("first"))
-    pages_left = pending.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0))).first()[0]
-    rest = inc.resume_ranges(entries, pending, int(pages_left)).filter(F.col("result_id") > mark)
-    return first.select("result_id", "page_no").unionByName(rest.select("result_id", "page_no"))
-
-
-def route_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages through a stream: counts by kind and reject reason."""
-    events = table(spark, sf_dir, "events")
-    body = F.concat(F.lit('{"kind":"'), "event_type", F.lit('","payload":'), F.coalesce("props", F.lit("{}")), F.lit("}"))
-    path, out, mark = (scratch_path(spark, n) for n in ("messages", "routed", "routed-mark"))
-    events.select(F.when(F.col("event_id") % 10 == 0, F.substr(body, F.lit(1), F.lit(12))).otherwise(body).alias("body")).write.parquet(path)
-    kinds = ("click", "view", "purchase")
-    stream = inc.route_messages(spark.readStream.schema("body string").parquet(path), kinds, fields=None)
-    stream.select("kind", "reject_reason").writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema("kind string, reject_reason string").parquet(out).groupBy("kind", "reject_reason").agg(F.count("*").alias("n"))
-
-
-def incremental_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three overlapping batches, each read as a stream when it has arrived and published as a version."""
-    source, root, mark = (scratch_path(spark, n) for n in ("batches", "store", "store-mark"))
-    a = applicants(spark, sf_dir)
-    top = a.agg(F.max("p_id").alias("m")).first()["m"] + 1
-    for i in range(3):
-        a.filter(F.col("p_id").between(int(top * i / 4), int(top * (i + 2) / 4) - 1)).write.mode("append").parquet(source)
-        store = inc.incremental_pull(spark, source, a.schema, root, mark)
-    rows = store.read("applicants").select("p_id", "program", "gpa")
-    return rows.withColumn("last_seen", F.lit(store.watermark()))
-
-
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = raw_entries(applicants(spark, sf_dir))
     status, when = t.split_decision(F.col("decision_text"))
@@ -262,7 +213,7 @@ def queries() -> dict:
     fs = (
         clean_records, record_to_row, dedupe_first, insert_new, load_records, loaded_rows, upsert_keyed, json_round_trip, read_records_json, read_jsonl_tolerant,
         read_jsonl_until_bad, unwrap_rows, extract_entries, attach_page_json, next_links, canonical_urls, decode_cursor, url_rules, challenge_pages, reparse_pages,
-        bounded_read, resume_pages, route_tasks, incremental_pull, parse_dates, clean_text,
+        parse_dates, clean_text,
     )
     return {f.__name__: f for f in fs}
 
@@ -299,16 +250,6 @@ def oracle_sql() -> dict[str, str]:
         "decode_cursor": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, event_id as id, event_id % 2 = 0 as forward from events",
         "challenge_pages": "select page_id from pages where contains(lower(html), 'track(0)') or contains(lower(html), 'captcha')",
         "reparse_pages": with_sql(f"select p_id as result_id, 'https://example.com/survey?page=' || cast(p_id // 20 as varchar) as url, {_SCHOOL} as school_text from applicants"),
-        "bounded_read": "select cast(o_orderkey as int) as result_id, cast((m - o_orderkey) // 20 + 1 as int) as page_no from orders, (select max(o_orderkey) as m from orders) "
-        "where o_orderkey > floor(m * 0.97) and (m - o_orderkey) // 20 < 50",
-        "resume_pages": "select cast(o_orderkey as int) as result_id, cast((m - o_orderkey) // 20 + 1 as int) as page_no from orders, (select max(o_orderkey) as m from orders) "
-        "where o_orderkey > floor(m * 0.97)",
-        "route_tasks": """with messages as (select case when event_id % 10 = 0 then left(body, 12) else body end as body
-            from (select event_id, '{"kind":"' || event_type || '","payload":' || coalesce(props, '{}') || '}' as body from events)),
-            kinds as (select body, case when json_valid(body) then body ->> '$.kind' end as kind, case when json_valid(body) then json_type(body, '$.payload') end as payload from messages)
-            select kind, case when body is null then 'size' when not json_valid(body) then 'not json' when kind not in ('click', 'view', 'purchase') then 'unknown kind'
-            when payload <> 'OBJECT' then 'payload' end as reject_reason, count(*) as n from kinds group by all""",
-        "incremental_pull": with_sql("select p_id, program, gpa, (select max(p_id) from applicants)::bigint as last_seen from applicants"),
         "parse_dates": with_sql(f"select p_id as result_id, date_added as added, date_added as decided, {_STATUS} as status from applicants"),
         "clean_text": r"select doc_id, nullif(trim(regexp_replace(text, '[\s]+', ' ', 'g')), '') as flat from documents",
     }

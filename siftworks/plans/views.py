@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftworks.operators.loading import ROW_SCHEMA
+
 APPLICANTS = """
 select cast(o_orderkey as int) as p_id,
   case o_orderkey % 5 when 0 then 'Computer Science' when 1 then 'computer  science' when 2 then 'EECS' when 3 then 'Physics' else 'History' end
@@ -33,10 +35,7 @@ COLUMNS = [
     "p_id", "program", "comments", "date_added", "url", "status", "term", "us_or_international",
     "gpa", "gre", "gre_v", "gre_aw", "degree", "llm_generated_program", "llm_generated_university",
 ]
-SCHEMA = (
-    "p_id int, program string, comments string, date_added date, url string, status string, term string, us_or_international string, "
-    "gpa double, gre double, gre_v double, gre_aw double, degree string, llm_generated_program string, llm_generated_university string"
-)
+SCHEMA = ROW_SCHEMA
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

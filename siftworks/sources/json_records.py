@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftworks.shared import exists
+
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records of files that each hold a JSON array (plain or .gz); a file with anything else fails the read."""
@@ -60,9 +62,7 @@ def unwrap_rows(payloads: DataFrame, column: str, row_schema: str) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(name): trimmed, non-blank, different lines; a missing path has none."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, path):
         return spark.createDataFrame([], "name string")
     return spark.read.text(path).select(F.trim("value").alias("name")).filter("name <> ''").distinct()
 

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def one(spark, value, f, kind="string"):
 
 
 def rows(df):
-    show = lambda v: "None" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v).replace(" 00:00:00", "")
+    show = lambda v: "None" if v is None or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, float) else str(v).replace(" 00:00:00", "")
     return sorted(tuple(map(show, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
@@ -156,10 +157,15 @@ def test_rules_and_cursor(spark):
 
 def test_messages(spark):
     bodies = {'{"kind":"scrape_new_data","payload":{"since":5}}': None, '{"kind":"recompute_analytics"}': None, "x": "not json", "[1]": "not an object", '"s"': "not an object",
-              "{}": "unknown kind", '{"kind":["a"]}': "unknown kind", '{"kind":"scrape_new_data","payload":[1]}': "payload", '{"kind":"scrape_new_data","payload":{"since":-1}}': "since",
+              "{}": "unknown kind", '{"kind":["a"]}': "unknown kind", '{"kind":5}': "unknown kind", '{"kind":"scrape_new_data","payload":[1]}': "payload", '{"kind":"scrape_new_data","payload":{"since":-1}}': "since",
+              '{"kind":"scrape_new_data","payload":{"since":"5"}}': "since", '{"kind":"scrape_new_data","payload":{"since":5.0}}': "since", '{"kind":"scrape_new_data","payload":{"since":true}}': "since",
+              '{"kind":"scrape_new_data","payload":{"since":null}}': None, '{"kind":"scrape_new_data","payload":null}': None, '{"kind":"scrape_new_data","payload":"x"}': "payload",
+              '{"kind":"recompute_analytics","payload":{}}': None, '{"kind":"recompute_analytics","payload":{"since":5}}': "unknown field", '{"kind":"scrape_new_data","payload":{"since":2147483647}}': None,
               '{"kind":"scrape_new_data","payload":{"since":2147483648}}': "since", '{"kind":"scrape_new_data","payload":{"sinse":5}}': "unknown field", None: "size", '"' + "a" * 70000 + '"': "size"}
     df = inc.route_messages(spark.createDataFrame([(b,) for b in bodies], "body string"))
     assert {r["body"]: r["reject_reason"] for r in df.collect()} == bodies
+    free = inc.route_messages(df.select("body"), {"scrape_new_data": None})
+    assert free.filter("reject_reason is null and body like '%sinse%'").count() == 1 and free.filter("body like '%recompute%' and reject_reason <> 'unknown kind'").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -173,29 +179,101 @@ def test_bounded_read(spark, pages_, mark, cap, ids, stopped, resume):
     assert sorted(r["result_id"] for r in got.collect()) == ids and (row["stopped"], row["resume_page"]) == (stopped, resume)
 
 
-def test_replayed_batch_changes_nothing(spark, tmp_path):
-    store = inc.VersionedStore(spark, str(tmp_path))
-    batch = spark.createDataFrame([(i,) for i in (3, 4)], "p_id int").select("p_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], SCHEMA).schema.fields[1:]])
-    for _ in range(2):
-        inc.apply_batch(store, batch, 0)
-    assert store.read("applicants").count() == 2 and store.watermark() == 4
-    inc.apply_batch(store, batch, 1)
-    assert store.read("applicants").count() == 2
-    inc.apply_batch(store, batch.withColumn("p_id", F.lit(1)), 2)
-    assert store.read("applicants").count() == 2 and store.watermark() == 4
+ENTRY = "result_id int, url string, school_text string, program_text string, degree_text string, date_added_text string, decision_text string, tags_text array<string>, comment_text string, listing_json string, scraped_at string, arrival int"
 
 
-def _applicants(spark, *ids):
-    return spark.createDataFrame([(i,) for i in ids], "p_id int").select("p_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], SCHEMA).schema.fields[1:]])
+def _entries(spark, *ids):
+    return spark.createDataFrame([(i, f"https://x/result/{i}", "Hill College", f"Law {at}", None, "Mar 07, 2026", "accepted", ["GPA 3.10"], None, None, "t", at) for at, i in enumerate(ids)], ENTRY)
+
+
+def _files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet") if "state" not in str(p)}
+
+
+def test_batches_are_cleaned_and_added_once(spark, tmp_path):
+    store = inc.BatchStore(spark, str(tmp_path))
+    assert store.rows().count() == 0 and store.watermark() is None and inc.snapshot_status(store).count() == 0
+    inc.apply_batch(store, _entries(spark, 3, 4, 4, 3), "a")
+    got = {r["p_id"]: r for r in store.rows().collect()}
+    assert {i: (r["program"], r["gpa"], r["status"]) for i, r in got.items()} == {3: ("Law 0, Hill College", 3.1, "Accepted"), 4: ("Law 1, Hill College", 3.1, "Accepted")}
+    assert store.watermark() == 4 and inc.snapshot_status(store).first()["total_entries"] == 2
+    before = _files(tmp_path)
+    inc.apply_batch(store, _entries(spark, 3, 4, 9), "a")  # replayed
+    inc.apply_batch(store, _entries(spark, 4, 3), "b")  # nothing new
+    assert store.rows().count() == 2 and _files(tmp_path) == before
+    inc.apply_batch(store, _entries(spark, 5, 1), "c")
+    assert sorted(r["p_id"] for r in store.rows().collect()) == [3, 4, 5] and store.watermark() == 5
+    assert before.items() <= _files(tmp_path).items()  # stored rows are not rewritten
+
+
+def test_a_batch_that_failed_is_not_seen_and_tried_again(spark, tmp_path, monkeypatch):
+    store = inc.BatchStore(spark, str(tmp_path))
+    inc.apply_batch(store, _entries(spark, 1), "a")
+    with monkeypatch.context() as m:
+        m.setattr(inc, "snapshot_payload", lambda t: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            inc.apply_batch(store, _entries(spark, 2, 3), "b")
+    assert store.rows().count() == 1 and store.watermark() == 1 and (tmp_path / "applicants/batch=b").exists()
+    inc.apply_batch(store, _entries(spark, 2, 3), "b")
+    assert store.rows().count() == 3 and store.watermark() == 3
 
 
 def test_where_a_pull_starts(spark, tmp_path):
-    store = inc.VersionedStore(spark, str(tmp_path))
-    stored = lambda: sorted(r["p_id"] for r in store.read("applicants").collect())
-    store.publish("loaded", -1, _applicants(spark, 13, 14, 15), None)
-    inc.apply_batch(store, _applicants(spark, 12, 15, 17), 0)  # no mark yet: the newest stored id
+    store = inc.BatchStore(spark, str(tmp_path))
+    stored = lambda: sorted(r["p_id"] for r in store.rows().collect())
+    rows = cleaning.record_to_row(cleaning.clean_entries(_entries(spark, 13, 14, 15)))
+    store.commit("loaded", rows, None)
+    inc.apply_batch(store, _entries(spark, 12, 15, 17), "0")  # no mark yet: the newest stored id
     assert stored() == [13, 14, 15, 17] and store.watermark() == 17
-    inc.apply_batch(store, _applicants(spark, 10, 11, 12, 13), 1, since=11)
+    inc.apply_batch(store, _entries(spark, 10, 11, 12, 13), "1", since=11)
     assert stored() == [12, 13, 14, 15, 17] and store.watermark() == 17
-    inc.apply_batch(store, _applicants(spark, 18, 19), 2, since=1000)
+    inc.apply_batch(store, _entries(spark, 18, 19), "2", since=1000)
     assert stored() == [12, 13, 14, 15, 17] and store.watermark() == 17
+
+
+def test_a_new_checkpoint_repeats_no_number(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "store")
+    schema = _entries(spark, 1).drop("arrival").schema
+    for k, ids in enumerate([(1, 2), (3,), (2, 4)]):
+        _entries(spark, *ids).drop("arrival").write.mode("append").parquet(source)
+        store = inc.incremental_pull(spark, source, schema, root, str(tmp_path / f"mark{k // 2}"))
+    assert sorted(r["p_id"] for r in store.rows().collect()) == [1, 2, 3, 4] and store.watermark() == 4
+
+
+def test_refresh_of_the_snapshot(spark, tmp_path):
+    store = inc.BatchStore(spark, str(tmp_path))
+    assert inc.refresh_snapshot(store) and inc.snapshot_status(store).first()["total_entries"] == 0 and not inc.refresh_snapshot(store)
+    rows = cleaning.record_to_row(cleaning.clean_entries(_entries(spark, 1, 2)))
+    store.commit("a", rows, 2, refresh=False)
+    store.commit("b", rows.limit(0), 2)
+    assert inc.snapshot_status(store).first()["total_entries"] == 0 and inc.refresh_snapshot(store) and not inc.refresh_snapshot(store)
+    status = inc.snapshot_status(store).first()
+    assert (status["total_entries"], status["newest_entry"], status["n_answers"], store.watermark()) == (2, dt.date(2026, 3, 7), 11, 2)
+    assert inc.refresh_snapshot(store, force=True) and inc.snapshot_status(store).first()["computed_at"] > status["computed_at"]
+
+
+def _read_in_order(pages_, pending, budget, mark):
+    """Pages one by one, as a reader would fetch them."""
+    seen, taken, rest = set(), {}, []
+    for position, at in pending:
+        while True:
+            if budget <= 0:
+                rest.append((position, at))
+                break
+            budget -= 1
+            ids = pages_.get(at, [])
+            fresh = [i for i in ids if i > mark and i not in seen]
+            seen.update(fresh)
+            taken.update({i: at for i in fresh})
+            if len(fresh) < len(ids) or at + 1 not in pages_:
+                break
+            at += 1
+    return taken, rest
+
+
+@pytest.mark.parametrize("pending,budget,mark", [([(1, 1)], 3, 0), ([(1, 7), (2, 1), (3, 4)], 8, 0), ([(1, 7), (2, 1), (3, 4)], 50, 81), ([(1, 4), (2, 4), (3, 1)], 6, 84), ([(1, 12), (2, 2)], 0, 0), ([(1, 30), (2, 1)], 4, 81)])
+def test_resume_ranges(spark, pending, budget, mark):
+    pages_ = {p: [100 - 2 * p, 101 - 2 * p] for p in range(1, 13)}
+    entries = spark.createDataFrame([(p, i) for p, ids in pages_.items() for i in ids], "page_no int, result_id int")
+    rows, rest = inc.resume_ranges(entries, spark.createDataFrame(pending, "position int, first int"), budget, mark)
+    assert ({r["result_id"]: r["page_no"] for r in rows.collect()}, [tuple(r) for r in rest.collect()]) == _read_in_order(pages_, pending, budget, mark)
