@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ENTRY = "url string, at int, result_id int, school_text string, program_text string, degree_text string, date_added_text string, decision_text string, tags_text array<string>, comment_text string"
-LINK = "url string, at int, href string, text string, in_nav boolean"
+from siftworks.operators.loading import dedupe_first
+
+ENTRY = "at int, result_id int, school_text string, program_text string, degree_text string, date_added_text string, decision_text string, tags_text array<string>, comment_text string"
+LINK = "at int, href string, text string, in_nav boolean"
+_ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
 class _Page(HTMLParser):
@@ -21,6 +24,7 @@ class _Page(HTMLParser):
         self.rows: list[dict] = []
         self.links: list[list] = []
         self.payload: str | None = None
+        self.tables, self.first = 0, True  # only the first table is read
         self.open: list[list[str]] = []  # texts being gathered
         self.nav = 0
         self.kinds: list[tuple[str, list[str] | None]] = []
@@ -29,10 +33,13 @@ class _Page(HTMLParser):
         a = dict(attrs)
         classes = (a.get("class") or "").split()
         texts: list[str] | None = None
-        row = self.rows[-1] if self.rows else None
-        if "data-page" in a:
-            self.payload = a["data-page"]
-        if tag == "tr":
+        inside = self.first and self.tables > 0
+        row = self.rows[-1] if self.rows and inside else None
+        if tag == "div" and a.get("id") == "app" and self.payload is None:
+            self.payload = a.get("data-page")
+        if tag == "table":
+            self.tables += 1
+        elif tag == "tr" and inside:
             self.rows.append({"class": classes, "cells": [], "heads": 0, "href": None, "badges": [], "paragraphs": []})
         elif tag == "th" and row:
             row["heads"] += 1
@@ -62,6 +69,9 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "nav":
             self.nav = max(0, self.nav - 1)
+        if tag == "table" and self.tables:
+            self.tables -= 1
+            self.first = self.first and self.tables > 0
         while any(k == tag for k, _ in self.kinds):
             if self.kinds.pop()[0] == tag:
                 break
@@ -83,10 +93,10 @@ def parse_page(html: str | None) -> _Page:
     return page
 
 
-def _entries(html: str | None) -> list[tuple]:
+def _entries(page: _Page) -> list[tuple]:
     """Entries of a page: a main row has a result link and four cells or more; continuation rows add badges and comments."""
     found: list[dict] = []
-    for row in parse_page(html).rows:
+    for row in page.rows:
         if row["heads"]:
             continue
         tail = (row["href"] or "").rstrip("/").rsplit("/", 1)[-1].split("?")[0]
@@ -101,56 +111,85 @@ def _entries(html: str | None) -> list[tuple]:
     return [(i, f["id"], f["school"], f["program"], f["degree"], f["date"], f["decision"], f["tags"], "\n".join(f["comment"]) or None) for i, f in enumerate(found)]
 
 
-def extract_entries(pages: DataFrame) -> DataFrame:
-    """ENTRY rows of ``pages`` (url, html): one page gives any number of rows."""
-    names = [x.split()[0] for x in ENTRY.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(url, *e) for url, html in zip(batch["url"], batch["html"], strict=True) for e in _entries(html)]
-            yield pd.DataFrame(rows, columns=names)
+def _structs(rows: list[list[tuple]], kind: str) -> pa.Array:
+    """A list of structs for each of ``rows``."""
+    names, types = zip(*(x.split() for x in kind.split(", ")), strict=True)
+    flat = [x for row in rows for x in row]
+    columns = [pa.array([x[i] for x in flat], _ARROW[t]) for i, t in enumerate(types)]
+    ends = [0]
+    for row in rows:
+        ends.append(ends[-1] + len(row))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
 
-    return pages.select("url", "html").mapInPandas(run, ENTRY)
 
+def parse_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """(url, keep..., entries, payload, links) of ``pages`` (url, html, keep...): each page is parsed once.
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """(url, result_id, listing_json) of the records embedded in each page; damaged or missing JSON has none."""
+    entries and links are arrays of the structs ENTRY and LINK, payload is the page's embedded JSON text or null. A page without rows has empty arrays.
+    """
+    kinds = dict(pages.dtypes)
+    columns = ["url", *keep]
+    entry, link = (f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in kind.split(', '))}>>" for kind in (ENTRY, LINK))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"url": batch["url"], "payload": [parse_page(h).payload for h in batch["html"]]})
+            parsed = [parse_page(h) for h in batch.column("html").to_pylist()]
+            links = [[(i, href, _flat(texts), nav) for i, (href, texts, nav) in enumerate(x.links) if href] for x in parsed]
+            found = [_structs([_entries(x) for x in parsed], ENTRY), pa.array([x.payload for x in parsed], pa.string()), _structs(links, LINK)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], [*columns, "entries", "payload", "links"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    return pages.select(*columns, "html").mapInArrow(run, f"{schema}, entries {entry}, payload string, links {link}")
 
-    payloads = pages.select("url", "html").mapInPandas(run, "url string, payload string")
-    items = F.from_json(F.get_json_object("payload", "$.props.results.data"), "array<string>")
-    flat = payloads.select("url", F.explode(items).alias("listing_json"))
-    return flat.select("url", F.get_json_object("listing_json", "$.id").try_cast("int").alias("result_id"), "listing_json").filter("result_id is not null")
 
+def extract_entries(pages: DataFrame, *keep: str) -> DataFrame:
+    """(url, keep..., ENTRY) of ``pages`` (url, html, keep...): one page gives any number of rows."""
+    return parse_pages(pages, *keep).select("url", *keep, F.inline("entries"))
 
-def attach_page_json(entries: DataFrame, records: DataFrame) -> DataFrame:
-    """``entries`` with listing_json of the record of the same page and id, and whether the page's two id sets agree."""
-    ids = lambda df, n: df.groupBy("url").agg(F.collect_set("result_id").alias(n))
-    sets = ids(entries, "a").join(ids(records, "b"), "url", "left")
-    empty = F.array().cast("array<int>")
-    b = F.coalesce("b", empty)
-    agree = sets.select("url", ((F.size(F.array_except("a", b)) == 0) & (F.size(F.array_except(b, "a")) == 0)).alias("ids_agree"))
-    first = records.groupBy("url", "result_id").agg(F.min("listing_json").alias("listing_json"))
-    return entries.join(first, ["url", "result_id"], "left").join(agree, "url", "left")
+
+def attach_page_json(parsed: DataFrame, *keep: str) -> DataFrame:
+    """(url, keep..., ENTRY, listing_json, ids_agree) of ``parsed`` (see parse_pages), page by page without a shuffle.
+
+    listing_json is the page's embedded record with the entry's id (the last of several; its id must be a whole number), ids_agree whether the page's two
+    sets of ids are equal, null where the JSON is missing or damaged or has no record.
+    """
+    items = F.coalesce(F.from_json(F.get_json_object("payload", "$.props.results.data"), "array<string>"), F.array().cast("array<string>"))
+    number = lambda x: F.when(F.get_json_object(x, "$.id").rlike(r"^-?\d+$") & x.rlike(r'"id"\s*:\s*-?\d'), F.get_json_object(x, "$.id").try_cast("int"))
+    records = F.filter(F.transform(items, lambda x: F.struct(number(x).alias("id"), x.alias("json"))), lambda r: r["id"].isNotNull())
+    with_records = parsed.select("url", *keep, "entries", records.alias("_records"))
+    own, theirs = F.col("entries.result_id"), F.col("_records.id")
+    agree = F.when(F.size("_records") > 0, (F.size(F.array_except(own, theirs)) == 0) & (F.size(F.array_except(theirs, own)) == 0))
+    flat = with_records.select("url", *keep, "_records", agree.alias("ids_agree"), F.inline("entries"))
+    last = F.try_element_at(F.filter("_records", lambda r: r["id"] == F.col("result_id")), F.lit(-1))["json"]
+    return flat.withColumn("listing_json", last).drop("_records")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """LINK rows: the anchors of each page in order."""
+    """(url, LINK): the anchors of each page in order."""
+    return parse_pages(pages).select("url", F.inline("links"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (url, i, href, _flat(texts), nav)
-                for url, html in zip(batch["url"], batch["html"], strict=True)
-                for i, (href, texts, nav) in enumerate(parse_page(html).links)
-                if href
-            ]
-            yield pd.DataFrame(rows, columns=["url", "at", "href", "text", "in_nav"])
 
-    return pages.select("url", "html").mapInPandas(run, LINK)
+def cached_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(file, url, fetched_at, html) of cached pages, one per file below ``path``; their header line gives url and time of the fetch.
+
+    A page without a header has its file as url and the file's time; the time is missing in some headers, too.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    head = F.substring_index("value", "\n", 1)
+    said = lambda name: F.nullif(F.regexp_extract(head, rf"{name}: (\S+)", 1), F.lit(""))
+    url = said("source-url")
+    modified = F.date_format(F.to_utc_timestamp("modified", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    html = F.when(url.isNull(), F.col("value")).otherwise(F.substr("value", F.char_length(head) + 2))
+    return files.select("file", F.coalesce(url, F.col("file")).alias("url"), F.coalesce(said("fetched-at"), modified).alias("fetched_at"), html.alias("html"))
+
+
+def reparse_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Raw entries of cached pages, with listing_json, scraped_at and source_page_url: of each id the first by file name (pages are numbered as they were fetched) and place."""
+    cached = cached_pages(spark, path)
+    found = attach_page_json(parse_pages(cached, "file", "fetched_at"), "file", "fetched_at")
+    placed = found.withColumn("_place", F.struct("file", "at"))
+    first = dedupe_first(placed, "result_id", "_place").drop("_place", "file", "at", "ids_agree")
+    return first.withColumnsRenamed({"fetched_at": "scraped_at", "url": "source_page_url"})
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -175,29 +214,125 @@ def next_links(pages: DataFrame) -> DataFrame:
     return found.filter(F.try_parse_url("url", F.lit("HOST")) == F.try_parse_url("next_url", F.lit("HOST")))
 
 
+# The paths that may be asked for, and what they become.
+SITE_PATHS = ((r"^/robots\.txt$", "/robots.txt"), (r"^/survey/*$", "/survey"), (r"^/result/0*([0-9]+).*$", "/result/$1"))
+
+
+def _with(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.try_element_at(F.transform(F.array(c), f), F.lit(1))
+
+
 def decode_cursor(c: Column) -> Column:
-    """struct<created_at string, id long, forward boolean> of a URL-safe base64 cursor, null if it is damaged."""
+    """struct<created_at string, admit_id long, forward boolean> of a URL-safe base64 cursor, null if it is damaged.
+
+    The stamp must be a real date and time; the id may be a number or a text of digits; a missing direction is forward, another value counts by its truth.
+    """
     plain = F.translate(F.regexp_replace(c, "=+$", ""), "-_", "+/")
     padded = F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.char_length(plain), F.lit(4)).cast("int")))
     text = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    fields = F.from_json(text, "created_at string, id long, _pointsToNextItems boolean")
-    ok = fields["created_at"].rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$") & (fields["id"] >= 0) & fields["_pointsToNextItems"].isNotNull()
-    return F.when(ok, F.struct(fields["created_at"].alias("created_at"), fields["id"].alias("id"), fields["_pointsToNextItems"].alias("forward")))
+    return _with(text, lambda t: _with(F.struct(t.alias("text"), F.try_parse_json(t).alias("whole")), lambda x: _cursor_fields(x["text"], x["whole"])))
+
+
+def _cursor_fields(text: Column, whole: Column) -> Column:
+    part = lambda path, kind: F.try_variant_get(whole, path, kind)
+    type_of = lambda path: F.schema_of_variant(part(path, "variant"))
+    pattern = r"^(\d{4}-\d{1,2}-\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$"
+    group = lambda i: F.regexp_extract(part("$.created_at", "string"), pattern, i)
+    clock = lambda i, limit: F.when(group(i).try_cast("int") < limit, F.lpad(group(i), 2, "0"))
+    day = F.date_format(F.try_to_date(F.nullif(group(1), F.lit("")), "yyyy-M-d"), "yyyy-MM-dd ")
+    created = F.concat(day, clock(2, 24), F.lit(":"), clock(3, 60), F.lit(":"), clock(4, 60))  # null if a part is
+    kind, said = type_of("$.admitid"), F.trim(part("$.admitid", "string"))
+    admit = (
+        F.when(kind == "BIGINT", part("$.admitid", "bigint"))
+        .when(kind == "STRING", F.when(said.rlike(r"^[+-]?\d+$"), said.try_cast("bigint")))
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), part("$.admitid", "double").try_cast("bigint"))
+        .when(kind == "BOOLEAN", part("$.admitid", "boolean").cast("bigint"))
+    )
+    way, raw = type_of("$._pointsToNextItems"), part("$._pointsToNextItems", "string")
+    truth = F.when(way == "BOOLEAN", raw == "true").when(way == "STRING", raw != "").when(way.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), raw.try_cast("double") != 0)
+    truth = truth.when((way == "VOID") | raw.isin("[]", "{}"), False).otherwise(True)
+    forward = F.when(F.array_contains(F.json_object_keys(text), "_pointsToNextItems"), truth).otherwise(True)
+    fields = F.struct(created.alias("created_at"), admit.alias("admit_id"), forward.alias("forward"))
+    return _with(fields, lambda f: F.when(f["created_at"].isNotNull() & f["admit_id"].isNotNull(), f))
 
 
 def encode_cursor(fields: Column) -> Column:
-    text = F.to_json(F.struct(fields["created_at"].alias("created_at"), fields["id"].alias("id"), fields["forward"].alias("_pointsToNextItems")))
+    text = F.concat(
+        F.lit('{"created_at":"'), fields["created_at"], F.lit('","admitid":'), fields["admit_id"].cast("string"),
+        F.lit(',"_pointsToNextItems":'), fields["forward"].cast("string"), F.lit("}"),
+    )
     return F.regexp_replace(F.translate(F.base64(text.cast("binary")), "+/\r\n", "-_"), "=+$", "")
 
 
-def canonical_url(url: Column, host: Column | str, paths: str) -> Column:
-    """https, the given host (lower case; a column or one value), an allowed path (a pattern), a whole page number; anything else is null."""
+def safe_cursor(c: Column) -> Column:
+    """A cursor rebuilt from its three fields, null if it is damaged; a whole one stays as it is."""
+    return _with(decode_cursor(c), encode_cursor)
+
+
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+
+
+def _path(url: Column) -> Column:
+    """The path without the parameters of its last part."""
+    return F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), r";[^/]*$", "")
+
+
+def _query(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+
+
+def _argument(url: Column, name: str) -> Column:
+    """The first value of a query's argument that is not empty, decoded."""
+    return F.try_url_decode(F.nullif(F.regexp_extract(_query(url), rf"(?:^|&){name}=([^&]+)", 1), F.lit("")))
+
+
+def canonical_url(url: Column, host: Column | str, paths: tuple[tuple[str, str], ...] = SITE_PATHS) -> Column:
+    """A url rebuilt from checked parts, null if one is refused: https, the given host (a column or one value), an allowed path (pattern and what it becomes), a whole page number, a cursor."""
     host = F.lit(host) if isinstance(host, str) else host
-    path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
-    page = F.try_parse_url(url, F.lit("QUERY"), F.lit("page"))
-    ok = (F.lower(F.try_parse_url(url, F.lit("HOST"))) == host) & F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & path.rlike(paths)
-    number = F.when(page.rlike("^[0-9]{1,9}$"), F.concat(F.lit("?page="), page.cast("int").cast("string")))
-    return F.when(ok & (page.isNull() | number.isNotNull()), F.concat(F.lit("https://"), host, path, F.coalesce(number, F.lit(""))))
+    path = F.nullif(_path(url), F.lit(""))
+    made = F.when(F.lit(False), F.lit(""))
+    for pattern, template in paths:
+        made = made.when(path.rlike(pattern), F.regexp_replace(path, pattern, template))
+    page, cursor = _argument(url, "page"), _argument(url, "cursor")
+    number = F.when(F.trim(page).rlike(r"^[+-]?[0-9]{1,18}$"), F.trim(page).cast("bigint").cast("string"))
+    # null if an argument is there and refused, "" if none is there
+    value = lambda given, name, checked: F.when(given.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}="), checked))
+    page, cursor = value(page, "page", number), value(cursor, "cursor", safe_cursor(cursor))
+    query = F.concat(page, F.when((page != "") & (cursor != ""), "&").otherwise(""), cursor)
+    ask = _with(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(q))
+    return F.when(_host(url) == host, F.concat(F.lit("https://"), host, made, ask))
+
+
+def request_path(url: Column) -> Column:
+    """Path and query of a url: what url rules are matched against."""
+    return F.concat(F.when(_path(url) == "", "/").otherwise(_path(url)), F.when(_query(url) != "", F.concat(F.lit("?"), _query(url))).otherwise(""))
+
+
+#: Urls and rules meet by so many first characters of a rule at most.
+RULE_KEY = 16
+
+
+def site_rules(files: DataFrame, agent: str) -> DataFrame:
+    """(site, allow, pattern): the rules for ``agent`` in rules files (site, text), one per site.
+
+    Lines in order form groups: agent lines, then rules; an agent line after a rule begins the next group. The groups that name a part of the agent
+    count, in any case; where there are none, those of *. Comments, other directives and rules without a path are skipped.
+    """
+    lines = files.select("site", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("at", "line"))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    bare = F.substring_index("line", "#", 1)
+    split = lines.select("site", "at", F.lower(strip(F.regexp_extract(bare, r"^([^:]*):", 1))).alias("key"), strip(F.regexp_extract(bare, r"^[^:]*:([\s\S]*)$", 1)).alias("value"))
+    said = split.filter(F.col("key").isin("user-agent", "allow", "disallow")).withColumn("names", F.col("key") == "user-agent")
+    order = Window.partitionBy("site").orderBy("at")  # the lines of one file
+    opens = F.col("names") & ~F.coalesce(F.lag("names").over(order), F.lit(True))
+    grouped = said.withColumn("opens", opens).withColumn("group", F.sum(F.col("opens").cast("int")).over(order))
+    name = F.lower("value")
+    groups = grouped.filter("names").groupBy("site", "group").agg(F.max((name != "*") & F.lit(agent.lower()).contains(name)).alias("own"), F.max(name == "*").alias("all"))
+    chosen = groups.withColumn("any_own", F.max("own").over(Window.partitionBy("site"))).filter(F.when(F.col("any_own"), F.col("own")).otherwise(F.col("all")))
+    rules = grouped.filter(~F.col("names") & (F.col("value") != "")).join(chosen.select("site", "group"), ["site", "group"], "left_semi")
+    return rules.select("site", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
 
 
 def rule_pattern(pattern: Column) -> Column:
@@ -207,23 +342,33 @@ def rule_pattern(pattern: Column) -> Column:
     return F.concat(F.lit("^"), quoted, F.when(pattern.endswith("$"), "$").otherwise(""))
 
 
-def url_rules(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """(path, allowed): the longest matching rule of the agent's group (rules: agent, pattern, allow), ties allow, none allows.
+def url_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(site, path, allowed) of different ``urls`` (site, path): by the site's longest matching rule (rules: site, allow, pattern); ties allow, and so does no match.
 
-    A rule is the agent's if its name, in any case, is a part of the agent's own; rules for * count only where there is no such rule.
+    A rule meets only paths that begin with its first fixed characters (up to ``RULE_KEY``, before a *): urls and rules are dealt by site and these.
     """
-    own = rules.filter((F.col("agent") != "*") & F.lower(F.lit(agent)).contains(F.lower("agent")))
-    group = own.unionByName(rules.filter("agent = '*'").join(own.select(F.lit(1)).limit(1), how="left_anti"))
-    compiled = group.filter("pattern <> ''").select("allow", F.char_length("pattern").alias("n"), rule_pattern(F.col("pattern")).alias("rx"))
-    listed = compiled.agg(F.collect_list(F.struct("n", "allow", "rx")).alias("rules"))  # a site's rule table: one small row
-    hit = F.array_max(F.transform(F.filter("rules", lambda r: F.regexp_like("path", r["rx"])), lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))
-    return urls.select("path").distinct().join(F.broadcast(listed)).select("path", F.coalesce(hit["allow"], F.lit(True)).alias("allowed"))
+    fixed = F.substr(F.regexp_extract("pattern", r"^([^*$]*)", 1), F.lit(1), F.lit(RULE_KEY))
+    keyed = rules.select(F.col("site").alias("_site"), fixed.alias("_key"), "allow", F.char_length("pattern").alias("n"), rule_pattern(F.col("pattern")).alias("rx")).distinct()
+    asked = urls.select("site", "path").distinct().select("*", F.explode(F.sequence(F.lit(0), F.least(F.char_length("path"), F.lit(RULE_KEY)))).alias("n_key"))
+    asked = asked.withColumn("key", F.substr("path", F.lit(1), F.col("n_key")))
+    met = asked.join(keyed, (F.col("site") == F.col("_site")) & (F.col("key") == F.col("_key")) & F.regexp_like("path", F.col("rx")), "left")
+    best = met.groupBy("site", "path").agg(F.max(F.when(F.col("rx").isNotNull(), F.struct("n", "allow"))).alias("best"))
+    return best.select("site", "path", F.coalesce("best.allow", F.lit(True)).alias("allowed"))
+
+
+def looks_like_rules(c: Column) -> Column:
+    """Whether a text can be a rules file: blank, or one that names an agent, and no HTML."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return ~low.contains("<html") & ~low.contains("<!doctype") & (low.rlike(r"(?U)^\s*$") | low.contains("user-agent"))
+
+
+# Texts that stand on challenge pages only.
+CHALLENGE_MARKERS = ("<title>Just a moment...</title>", "cf-chl-bypass", "challenge-error-text")
 
 
-def challenge_page(c: Column, markers: tuple[str, ...] = ("just a moment", "cf-challenge", "captcha", "access denied")) -> Column:
-    """Whether a page is a block or challenge page, by its markers."""
-    low = F.lower(c)
+def challenge_page(c: Column, markers: tuple[str, ...] = CHALLENGE_MARKERS) -> Column:
+    """Whether a page is a block or challenge page, by its markers (as they are written)."""
     found = F.lit(False)
     for m in markers:
-        found = found | low.contains(m)
+        found = found | c.contains(m)
     return F.coalesce(found, F.lit(False))

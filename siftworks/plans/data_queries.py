@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftworks.functions import text as t
-from siftworks.operators import cleaning, loading, pages
+from siftworks.operators import cleaning, loading
 from siftworks.plans.views import applicants, raw_entries, table, with_sql
 from siftworks.shared import scratch_path
 from siftworks.sources import json_records as js
@@ -19,6 +19,8 @@ _STATUS = "case trim(status) when 'Wait listed' then 'Waitlisted' else trim(stat
 _TERM = "case when trim(term) = 'fall 2026' then 'Fall 2026' else term end"
 _CITIZEN = "case trim(us_or_international) when 'international' then 'International' else us_or_international end"
 _GPA = "case when gpa >= 0 then gpa end"
+_N_TAGS = "1 + (term is not null)::int + (us_or_international is not null)::int + (gpa is not null)::int + (gre is not null)::int + (gre_v is not null)::int + (gre_aw is not null)::int"
+_SCHOOL = "split_part(program, ', ', 2)"
 ENTRY_SCHEMA = "result_id int, school_text string, program_text string, tags_text array<string>, comment_text string"
 
 
@@ -116,84 +118,26 @@ def unwrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return js.unwrap_rows(grouped.select(payload.alias("payload")), "payload", "event_id long, event_type string")
 
 
-def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries rendered as listing pages of 20, newest first, with their records embedded."""
-    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    e = raw_entries(applicants(spark, sf_dir)).withColumn("page_no", F.floor(F.col("result_id") / 20))
-    badges = F.array_join(F.transform("tags_text", lambda x: F.concat(F.lit('<div class="tw-inline-flex">'), esc(x), F.lit("</div>"))), "")
-    row = F.concat(
-        F.lit("<tr><td>"), esc(F.col("school_text")), F.lit("</td><td><span>"), esc(F.col("program_text")), F.lit("</span>"),
-        F.when(F.col("degree_text").isNotNull(), F.concat(F.lit("<span>"), esc(F.col("degree_text")), F.lit("</span>"))).otherwise(""),
-        F.lit("</td><td>"), F.col("date_added_text"), F.lit("</td><td>"), F.col("decision_text"), F.lit('</td><td><a href="/result/'), F.col("result_id").cast("string"),
-        F.lit('">see</a></td></tr><tr class="tw-border-none"><td><div class="tw-inline-flex md:tw-hidden">x</div>'), badges, F.lit("</td></tr>"),
-        F.when(F.col("comment_text").isNotNull(), F.concat(F.lit('<tr class="tw-border-none"><td><p>'), esc(F.col("comment_text")), F.lit("</p></td></tr>"))).otherwise(""),
-    )
-    rows = e.groupBy("page_no").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("result_id"), row.alias("row"))), asc=False), lambda x: x["row"]), "").alias("rows"),
-        F.to_json(F.collect_list(F.struct(F.col("result_id").alias("id"), F.col("school_text").alias("school")))).alias("data"),
-    )
-    payload = F.replace(F.replace(F.concat(F.lit('{"props":{"results":{"data":'), "data", F.lit("}}}")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    return rows.select(
-        F.concat(F.lit("https://example.com/survey?page="), F.col("page_no").cast("string")).alias("url"),
-        F.concat(
-            F.lit('<html><div id="app" data-page="'), payload, F.lit('"></div><table><tr><th>School</th></tr>'), F.col("rows"),
-            F.lit('</table><nav aria-label="Results pagination"><a href="/survey?page='), (F.col("page_no") + 1).cast("string"), F.lit('">Next</a></nav></html>'),
-        ).alias("html"),
-    )
-
-
-def extract_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pages.extract_entries(listing_pages(spark, sf_dir))
-    return got.select("result_id", "school_text", "program_text", "degree_text", "decision_text", F.size("tags_text").alias("n_tags"), "comment_text")
-
-
-_N_TAGS = "1 + (term is not null)::int + (us_or_international is not null)::int + (gpa is not null)::int + (gre is not null)::int + (gre_v is not null)::int + (gre_aw is not null)::int"
-_SCHOOL = "split_part(program, ', ', 2)"
-
-
-def attach_page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = listing_pages(spark, sf_dir)
-    got = pages.attach_page_json(pages.extract_entries(p), pages.page_records(p))
-    return got.select("result_id", F.get_json_object("listing_json", "$.school").alias("school"), "ids_agree")
-
-
-def next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.next_links(listing_pages(spark, sf_dir))
-
-
-def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls of pages; the allowed hosts are those with a page on an allowed path."""
-    paths = "^/(en|fr|de|es)/[0-9]+$"
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"))
-    sites = rows.filter(F.try_parse_url("url", F.lit("PATH")).rlike(paths)).select(F.col("host").alias("site")).distinct()
-    known = rows.join(sites, F.col("host") == F.col("site"), "left")
-    return known.select("page_id", pages.canonical_url(F.col("url"), F.col("site"), paths).alias("canonical"), F.col("host").isNotNull().alias("has_host"))
-
-
-def decode_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = table(spark, sf_dir, "events").select(
-        "event_id", F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.col("event_id").alias("id"), (F.col("event_id") % 2 == 0).alias("forward")).alias("c")
-    )
-    return made.select("event_id", pages.decode_cursor(pages.encode_cursor(F.col("c"))).alias("d")).select("event_id", "d.created_at", "d.id", "d.forward")
-
-
-def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = table(spark, sf_dir, "pages").select(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/")).alias("path"))
-    rules = spark.createDataFrame([("*", "/en", False), ("*", "/en/*5$", True), ("*", "/fr/*", False), ("*", "/", True)], "agent string, pattern string, allow boolean")
-    return pages.url_rules(paths, rules, "reader")
-
-
-def challenge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").filter(pages.challenge_page(F.col("html"), ("track(0)", "captcha"))).select("page_id")
-
-
-def reparse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages cached one per file with a header line, read back and parsed; the first of each id."""
-    path = scratch_path(spark, "cache")
-    p = listing_pages(spark, sf_dir)
-    p.select(F.regexp_extract("url", "([0-9]+)$", 1).alias("n"), F.concat(F.lit("<!-- source-url: "), "url", F.lit(" -->\n"), "html").alias("value")).write.partitionBy("n").text(path)
-    cached = spark.read.text(f"{path}/*", wholetext=True).select(F.regexp_extract("value", r"^<!-- source-url: (\S+) -->", 1).alias("url"), F.col("value").alias("html"))
-    return loading.dedupe_first(pages.extract_entries(cached).withColumn("seq", F.col("at")), "result_id", "seq").select("result_id", "url", "school_text")
+def gated_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files as listed; then one listed with another size, one listed that is not there, files cut short, and a file of several lists: what is published, and how often it was refused."""
+    folder, target = scratch_path(spark, "gated"), scratch_path(spark, "published")
+    entries = raw_entries(applicants(spark, sf_dir)).select("result_id", "school_text")
+    arrays = entries.groupBy(F.floor(F.col("result_id") / 1000).alias("file")).agg(F.to_json(F.collect_list(F.struct("result_id", "school_text"))).alias("value"))
+    arrays.select("value").repartition(1).write.text(f"{folder}/several")
+    size = lambda path: spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/one")
+    arrays.select(F.substr("value", F.lit(1), F.char_length("value") - 2).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/cut")
+    one, cut = size(f"{folder}/one"), size(f"{folder}/cut")
+    schema = "result_id int, school_text string"
+    refused = 0
+    js.gated_ingest(spark, f"{folder}/one", one, schema, target)
+    tries = [(one.withColumn("size", F.col("size") + 1), "one"), (one.unionByName(spark.createDataFrame([("missing", 1)], one.schema)), "one"), (cut, "cut"), (size(f"{folder}/several"), "several")]
+    for listed, part in tries:
+        try:
+            js.gated_ingest(spark, f"{folder}/{part}", listed, schema, target)
+        except js.GateError:
+            refused += 1
+    return spark.read.parquet(target).withColumn("refused", F.lit(refused))
 
 
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +156,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     fs = (
         clean_records, record_to_row, dedupe_first, insert_new, load_records, loaded_rows, upsert_keyed, json_round_trip, read_records_json, read_jsonl_tolerant,
-        read_jsonl_until_bad, unwrap_rows, extract_entries, attach_page_json, next_links, canonical_urls, decode_cursor, url_rules, challenge_pages, reparse_pages,
+        read_jsonl_until_bad, unwrap_rows, gated_ingest,
         parse_dates, clean_text,
     )
     return {f.__name__: f for f in fs}
@@ -235,21 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "read_jsonl_tolerant": "select count(*) filter (where event_id % 1000 <> 700) as good, count(*) filter (where event_id % 1000 = 700) as damaged from events",
         "read_jsonl_until_bad": "select event_id, event_type from events where event_id % 1000 < 700",
         "unwrap_rows": "select event_id, event_type from events where user_id % 3 in (0, 1)",
-        "extract_entries": with_sql(
-            f"select p_id as result_id, {_SCHOOL} as school_text, {_PROGRAM.replace('program', 'split_part(program, chr(44), 1)', 1)} as program_text, degree as degree_text, "
-            f"trim(status) || ' on ' || strftime(date_added, '%b %d') as decision_text, ({_N_TAGS})::int as n_tags, comments as comment_text from applicants"
-        ),
-        "attach_page_json": with_sql(f"select p_id as result_id, {_SCHOOL} as school, true as ids_agree from applicants"),
-        "next_links": with_sql(
-            "select 'https://example.com/survey?page=' || cast(n as varchar) as url, 'https://example.com/survey?page=' || cast(n + 1 as varchar) as next_url from (select distinct p_id // 20 as n from applicants)"
-        ),
-        "canonical_urls": r"select page_id, case when regexp_matches(path, '^/(en|fr|de|es)/[0-9]+$') and (page is null or regexp_matches(page, '^[0-9]{1,9}$')) "
-        r"then 'https://' || host || path || coalesce('?page=' || cast(try_cast(page as int) as varchar), '') end as canonical, host <> '' as has_host from ("
-        r"select page_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) as host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) as path, "
-        r"nullif(regexp_extract(url, '^[^#?]*[?]([^#]*&)?page=([^&#]*)', 2), '') as page from pages)",
-        "decode_cursor": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, event_id as id, event_id % 2 = 0 as forward from events",
-        "challenge_pages": "select page_id from pages where contains(lower(html), 'track(0)') or contains(lower(html), 'captcha')",
-        "reparse_pages": with_sql(f"select p_id as result_id, 'https://example.com/survey?page=' || cast(p_id // 20 as varchar) as url, {_SCHOOL} as school_text from applicants"),
+        "gated_ingest": with_sql(f"select p_id as result_id, {_SCHOOL} as school_text, 4::int as refused from applicants"),
         "parse_dates": with_sql(f"select p_id as result_id, date_added as added, date_added as decided, {_STATUS} as status from applicants"),
         "clean_text": r"select doc_id, nullif(trim(regexp_replace(text, '[\s]+', ' ', 'g')), '') as flat from documents",
     }

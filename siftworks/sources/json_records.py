@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftworks.shared import exists
+from siftworks.shared import exists, materialize
+
+
+def rows_type(schema: str) -> str:
+    return f"array<{schema if schema.startswith('struct') else f'struct<{schema}>'}>"
+
+
+def record_list(c: Column, schema: str) -> Column:
+    """The records of a text that is one JSON array and nothing else, null for any other text; an element that is no record is null."""
+    # inside brackets, so that what follows an array makes the text damaged or a second element
+    whole = F.from_json(F.concat(F.lit("["), c, F.lit("]")), f"array<{rows_type(schema)}>")
+    return F.when(F.ltrim(c).startswith("[") & (F.size(whole) == 1), F.try_element_at(whole, F.lit(1)))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records of files that each hold a JSON array (plain or .gz); a file with anything else fails the read."""
-    files = spark.read.text(path, wholetext=True)
-    checked = files.select(F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.raise_error(F.lit("not a JSON array of records"))).alias("value"))
-    fields = schema if isinstance(schema, str) else schema.simpleString()
-    return checked.select(F.inline(F.from_json("value", f"array<{fields if fields.startswith('struct') else f'struct<{fields}>'}>", {"mode": "FAILFAST"})))
+    schema = schema if isinstance(schema, str) else schema.simpleString()
+    rows = record_list(F.col("value"), schema)
+    refused = F.raise_error(F.lit("not a JSON array of records")).cast(rows_type(schema))
+    whole = spark.read.text(path, wholetext=True).select(F.inline(F.coalesce(F.when(~F.exists(rows, lambda r: r.isNull()), rows), refused)))
+    # a file of no bytes gives no text; only lengths are read here
+    return whole.unionByName(spark.read.format("binaryFile").load(path).filter("length = 0").select(F.inline(refused)))
 
 
 def write_records(df: DataFrame, path: str, gzip: bool = False) -> None:
@@ -43,12 +57,16 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> Tolerant
 
 
 def read_jsonl_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Of each file the lines before its first damaged one. Files are read whole, one task each, to number the lines."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).filter("trim(value) <> ''")
-    parsed = lines.select("file", "line", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    stop = F.min(F.when(F.col("r._bad").isNotNull(), F.col("line"))).over(Window.partitionBy("file"))
-    return parsed.withColumn("stop", stop).filter("stop is null or line < stop").select("r.*").drop("_bad")
+    """Of each file the lines before its first damaged one. A file is read in as many splits as its size asks for.
+
+    A line's place is its split's offset in the file and, inside the split, the order of reading; the first damaged place of each file, one
+    row for each damaged file, is written down and joined back.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value").filter("trim(value) <> ''")
+    parsed = lines.select("file", "place", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    stops = materialize(parsed.filter("r._bad is not null").groupBy("file").agg(F.min("place").alias("stop")), "damaged")
+    return parsed.join(stops, "file", "left").filter("stop is null or place < stop").select("r.*").drop("_bad")
 
 
 def unwrap_rows(payloads: DataFrame, column: str, row_schema: str) -> DataFrame:
@@ -72,14 +90,40 @@ class GateError(ValueError):
 
 
 def gated_ingest(spark: SparkSession, path: str, expected: DataFrame, schema: str, target: str) -> int:
-    """Publish the record files in ``path`` to ``target`` if each is as long as ``expected`` (name, size) says, all parse, and there are records."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    wrong = files.join(expected, "name", "full").filter("length is null or size is null or length <> size")
-    if wrong.limit(1).count():
-        raise GateError("a file's size differs from the listed one")
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{schema}>>").alias("rows"), F.ltrim("value").startswith("[").alias("is_list"))
-    gate = text.agg(F.count_if(F.col("rows").isNull() | ~F.col("is_list")).alias("bad"), F.sum(F.size("rows")).alias("n")).first()
-    if gate["bad"] or not gate["n"]:
-        raise GateError("a file is no list of records, or there is no record")
-    text.select(F.inline("rows")).write.mode("overwrite").parquet(target)
-    return gate["n"]
+    """Publish the record files in ``path`` to ``target`` if each is as long as ``expected`` (name, size) says, all are there and are lists of objects, and there are records.
+
+    One pass reads the files, observes what the gate asks for, and writes the records to a folder beside the target, which a rename publishes;
+    an older target is moved away first. What is refused leaves the target as it was. Returns the number of records.
+    """
+    listed = expected.groupBy("name").agg(F.max("size").alias("size"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("length"))
+    checked = files.join(listed, "name", "left").select("length", "size", record_list(F.col("value"), schema).alias("rows"))
+    gate = Observation("gate")
+    observed = checked.observe(
+        gate,
+        F.count_if(F.col("size").isNotNull()).alias("listed"),
+        F.count_if(~F.col("length").eqNullSafe(F.col("size"))).alias("sizes"),
+        F.count_if(F.col("rows").isNull()).alias("unreadable"),
+        F.count_if(F.exists("rows", lambda r: r.isNull())).alias("others"),
+    )
+    staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    observed.select(F.inline("rows")).write.parquet(staging)
+    found = gate.get
+    records = spark.read.parquet(staging).count()
+    reasons = {
+        "a file's size differs from the listed one": found["sizes"], "a listed file is missing": listed.count() - found["listed"], "a file is no list": found["unreadable"],
+        "a list holds something else than records": found["others"], "there is no record": not records,
+    }
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = place(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for reason, wrong in reasons.items():
+        if wrong:
+            fs.delete(place(staging), True)
+            raise GateError(reason)
+    old = place(f"{staging}.old")
+    replaced = fs.exists(place(target)) and fs.rename(place(target), old)
+    if not fs.rename(place(staging), place(target)):
+        raise OSError(f"{staging} could not be renamed to {target}")
+    if replaced:
+        fs.delete(old, True)
+    return records

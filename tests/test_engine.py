@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from siftworks.functions import formats
 from siftworks.functions import text as t
-from siftworks.operators import analysis, cleaning, loading, pages, search
+from siftworks.operators import analysis, cleaning, loading, search
 from siftworks.plans.views import SCHEMA
 from siftworks.streaming import incremental as inc
 
@@ -147,14 +147,6 @@ def test_search_arguments(spark):
     assert ids(sort="gpa", order="asc") == [3, 2, 1] and ids(sort="gpa") == [2, 3, 1]
 
 
-def test_rules_and_cursor(spark):
-    rules = spark.createDataFrame([("*", "/private", False), ("*", "/private/open$", True), ("bot", "/", False)], "agent string, pattern string, allow boolean")
-    paths = spark.createDataFrame([("/private/x",), ("/private/open",), ("/a",)], "path string")
-    of = lambda agent: {r["path"]: r["allowed"] for r in pages.url_rules(paths, rules, agent).collect()}
-    assert of("other") == {"/private/x": False, "/private/open": True, "/a": True} and not any(of("bot").values()) and not any(of("TidyBot/2.0").values())
-    assert one(spark, "zz", pages.decode_cursor) is None
-
-
 def test_messages(spark):
     bodies = {'{"kind":"scrape_new_data","payload":{"since":5}}': None, '{"kind":"recompute_analytics"}': None, "x": "not json", "[1]": "not an object", '"s"': "not an object",
               "{}": "unknown kind", '{"kind":["a"]}': "unknown kind", '{"kind":5}': "unknown kind", '{"kind":"scrape_new_data","payload":[1]}': "payload", '{"kind":"scrape_new_data","payload":{"since":-1}}': "since",
