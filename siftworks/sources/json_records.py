@@ -24,13 +24,11 @@ def record_list(c: Column, schema: str) -> Column:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Records of files that each hold a JSON array (plain or .gz); a file with anything else fails the read."""
+    """Records of files that each hold a JSON array (plain or .gz); a file with anything else fails the read, but one of no bytes, which has no record."""
     schema = schema if isinstance(schema, str) else schema.simpleString()
     rows = record_list(F.col("value"), schema)
     refused = F.raise_error(F.lit("not a JSON array of records")).cast(rows_type(schema))
-    whole = spark.read.text(path, wholetext=True).select(F.inline(F.coalesce(F.when(~F.exists(rows, lambda r: r.isNull()), rows), refused)))
-    # a file of no bytes gives no text; only lengths are read here
-    return whole.unionByName(spark.read.format("binaryFile").load(path).filter("length = 0").select(F.inline(refused)))
+    return spark.read.text(path, wholetext=True).select(F.inline(F.coalesce(F.when(~F.exists(rows, lambda r: r.isNull()), rows), refused)))
 
 
 def write_records(df: DataFrame, path: str, gzip: bool = False) -> None:

@@ -37,7 +37,7 @@ def test_until_bad_reads_one_file_in_many_tasks(spark, tmp_path):
 def test_read_records_refuses_anything_but_a_list(spark, tmp_path):
     (tmp_path / "good.json").write_text(' [{"id": 1, "name": "a"},\n {"id": 2}] ')
     assert [tuple(r) for r in js.read_records(spark, str(tmp_path / "good.json"), SCHEMA).orderBy("id").collect()] == [(1, "a"), (2, None)]
-    for i, text in enumerate(['{"id": 1}', '[{"id": 1}] [{"id": 2}]', '[{"id": 1}],[]', '[{"id": 1}', "[1]", ""]):
+    for i, text in enumerate(['{"id": 1}', '[{"id": 1}] [{"id": 2}]', '[{"id": 1}],[]', '[{"id": 1}', "[1]", "[null]"]):
         (tmp_path / f"bad{i}.json").write_text(text)
         with pytest.raises(Exception, match="not a JSON array"):
             js.read_records(spark, str(tmp_path / f"bad{i}.json"), SCHEMA).collect()
