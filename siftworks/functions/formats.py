@@ -34,7 +34,11 @@ def difference_text(c: Column) -> Column:
 
 def format_answers(t: DataFrame) -> DataFrame:
     """(number, label, value) of every scalar answer, from one scan."""
-    row = analysis.scalar_answers(t)
+    return analysis.scalar_answers(t).select(F.inline(_lines()))
+
+
+def _lines() -> Column:
+    """Every scalar answer of a row of ``analysis.scalar_answers``, in order."""
     c = F.col
     lines = [
         (1, "Fall 2026 entries", count_text(c("q01_fall_2026_entries"))),
@@ -53,20 +57,20 @@ def format_answers(t: DataFrame) -> DataFrame:
         (9, "Count on standardized fields", count_text(c("q09_llm_field_count"))),
         (9, "Difference", difference_text(c("q09_difference"))),
     ]
-    cells = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(label).alias("label"), v.alias("value")) for n, label, v in lines])
-    return row.select(F.explode(cells).alias("x")).select("x.*")
+    return F.array(*[F.struct(F.lit(n).alias("number"), F.lit(label).alias("label"), v.alias("value")) for n, label, v in lines])
 
 
 def snapshot_payload(t: DataFrame) -> DataFrame:
     """One row: payload, a JSON text of the summary and of all answers: number, lines (label, value), columns and table, lists of texts (nulls as the missing text)."""
-    flat = lambda df: df.select(F.array(*[F.coalesce(F.col(x).cast("string"), F.lit(MISSING)) for x in df.columns]).alias("cells"))
-    texts, grid = "array<array<string>>", "array<string>"
-    lines = format_answers(t).groupBy("number").agg(F.collect_list(F.array("label", "value")).alias("lines"))
-    answers = lines.select("number", "lines", F.array().cast(grid).alias("columns"), F.array().cast(texts).alias("table"))
-    for number, key in ((10, "q10"), (11, "q11")):
-        df = analysis.QUESTIONS[key](t)  # few rows, in order
-        table = flat(df).agg(F.collect_list("cells").alias("table"))
-        answers = answers.unionByName(table.select(F.lit(number).alias("number"), F.array().cast(texts).alias("lines"), F.array(*map(F.lit, df.columns)).alias("columns"), "table"))
-    listed = answers.agg(F.sort_array(F.collect_list(F.struct("number", "lines", "columns", "table"))).alias("answers"))
-    whole = analysis.summary(t).crossJoin(listed)  # one row each
-    return whole.select(F.to_json(F.struct(F.struct("total_entries", F.col("newest_entry").cast("string").alias("newest_entry")).alias("summary"), "answers")).alias("payload"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+    scalars = analysis.scalar_answers(t, *analysis.summary_columns()).select("total_entries", "newest_entry", _lines().alias("said"))
+    lines = lambda n: F.transform(F.filter("said", lambda x: x["number"] == n), lambda x: F.array(x["label"], x["value"]))
+    answer = lambda n, lines, columns, table: F.struct(F.lit(n).alias("number"), lines.alias("lines"), columns.alias("columns"), table.alias("table"))
+    none, no_rows = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    whole = scalars.select("total_entries", "newest_entry", *[answer(n, lines(n), none, no_rows).alias(f"a{n}") for n in range(1, 10)])
+    for n in (10, 11):
+        df = analysis.QUESTIONS[f"q{n}"](t)  # few rows, in order
+        table = df.select(F.array(*map(text, df.columns)).alias("cells")).agg(F.collect_list("cells").alias("table"))
+        whole = whole.crossJoin(table.select(answer(n, no_rows, F.array(*map(F.lit, df.columns)), F.col("table")).alias(f"a{n}")))  # one row each
+    summary = F.struct("total_entries", F.col("newest_entry").cast("string").alias("newest_entry"))
+    return whole.select(F.to_json(F.struct(summary.alias("summary"), F.array(*[f"a{n}" for n in range(1, 12)]).alias("answers"))).alias("payload"))

@@ -129,8 +129,8 @@ QUESTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def scalar_answers(t: DataFrame) -> DataFrame:
-    """q01 to q09 from one scan: one row, the questions' columns prefixed by their key."""
+def scalar_answers(t: DataFrame, *more: Column) -> DataFrame:
+    """q01 to q09, and the aggregates ``more``, from one scan: one row, the questions' columns prefixed by their key."""
     count_where = lambda w: F.count_if(w)
     f26, f25, acc = fall(2026), fall(2025), p.accepted()
     classified = p.one_of("us_or_international", p.NATIONALITIES)
@@ -152,11 +152,16 @@ def scalar_answers(t: DataFrame) -> DataFrame:
         count_where(original).alias("q08_accepted_cs_phd_entries"),
         count_where(original).alias("q09_original_field_count"), count_where(standard).alias("q09_llm_field_count"),
         (count_where(standard) - count_where(original)).alias("q09_difference"),
+        *more,
     )
 
 
+def summary_columns() -> list[Column]:
+    return [F.count("*").alias("total_entries"), F.max("date_added").alias("newest_entry")]
+
+
 def summary(t: DataFrame) -> DataFrame:
-    return t.agg(F.count("*").alias("total_entries"), F.max("date_added").alias("newest_entry"))
+    return t.agg(*summary_columns())
 
 
 def data_notes(t: DataFrame) -> DataFrame:

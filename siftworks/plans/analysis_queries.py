@@ -97,6 +97,38 @@ SCALAR_SQL = "select " + ", ".join(
 )
 
 
+_COUNT = "coalesce(format('{{:,}}', {0}), '0')"
+_AVERAGE = "coalesce(cast(cast({0} as decimal(38,2)) as varchar), 'N/A')"
+_WITH_COUNT = f"{_AVERAGE} || ' (n = ' || {_COUNT.replace('{0}', '{1}')} || ')'"
+_LINES = [
+    (1, "Fall 2026 entries", _COUNT.format("fall_2026_entries"), "q01"),
+    (2, "Percent international", f"coalesce({_AVERAGE.format('percent_international')} || case when percent_international is null then '' else '%' end, 'N/A')", "q02"),
+    (2, "International entries", _COUNT.format("international_entries"), "q02"), (2, "Classified entries", _COUNT.format("classified_entries"), "q02"),
+    (3, "Average GPA", _WITH_COUNT.format("avg_gpa", "gpa_n"), "q03"), (3, "Average GRE Quantitative", _WITH_COUNT.format("avg_gre_quant", "gre_quant_n"), "q03"),
+    (3, "Average GRE Verbal", _WITH_COUNT.format("avg_gre_verbal", "gre_verbal_n"), "q03"), (3, "Average GRE Analytical Writing", _WITH_COUNT.format("avg_gre_aw", "gre_aw_n"), "q03"),
+    (4, "Average GPA, American, Fall 2026", _WITH_COUNT.format("avg_gpa", "applicants_with_gpa"), "q04"),
+    (5, "Fall 2025 acceptances", f"{_AVERAGE.format('acceptance_percent')} || case when acceptance_percent is null then '' else '%' end", "q05"),
+    (6, "Average GPA, accepted, Fall 2026", _WITH_COUNT.format("avg_gpa", "applicants_with_gpa"), "q06"),
+    (7, "Johns Hopkins computer science masters entries", _COUNT.format("jhu_cs_masters_entries"), "q07"), (8, "Accepted computer science PhD entries", _COUNT.format("accepted_cs_phd_entries"), "q08"),
+    (9, "Count on standardized fields", _COUNT.format("llm_field_count"), "q09"), (9, "Difference", "case when difference > 0 then '+' else '' end || cast(difference as varchar)", "q09"),
+]
+LINES_SQL = " union all ".join(f"select {i} as nth, {n} as number, '{label}' as label, {value} as value from {q}" for i, (n, label, value, q) in enumerate(_LINES))
+
+
+def _table_sql(question: str, columns: list[str], order: str) -> str:
+    cells = ", ".join(f"coalesce(cast({c} as varchar), 'N/A')" for c in columns)
+    return f"select {question[1:]}, cast([] as varchar[][]), {columns}, coalesce(list([{cells}] order by {order}), []) from {question}"
+
+
+PAYLOAD_SQL = f""", lines as ({LINES_SQL}), answers as (
+  select number, list([label, value] order by nth) as lines, cast([] as varchar[]) as columns, cast([] as varchar[][]) as "table" from lines group by number
+  union all {_table_sql("q10", ["degree", "entries", "acceptances", "acceptance_percent", "avg_accepted_gpa"], "entries desc, degree")}
+  union all {_table_sql("q11", ["university", "entries", "acceptances", "acceptance_percent"], "entries desc, university")}
+)
+select cast(to_json({{'summary': {{'total_entries': (select count(*) from applicants), 'newest_entry': (select cast(max(date_added) as varchar) from applicants)}},
+  'answers': list({{'number': number, 'lines': lines, 'columns': columns, 'table': "table"}} order by number)}}) as varchar) as payload from answers"""
+
+
 def queries() -> dict:
     on = lambda f: lambda spark, sf_dir: f(applicants(spark, sf_dir))
     found = {k: on(f) for k, f in analysis.QUESTIONS.items()}
@@ -118,6 +150,9 @@ def oracle_sql() -> dict[str, str]:
     found = {k: with_sql(v) for k, v in QUESTION_SQL.items()}
     ctes = ", ".join(f"{k} as ({v})" for k, v in QUESTION_SQL.items() if k < "q10")
     found["scalar_answers"] = with_sql("").rstrip() + f", {ctes} {SCALAR_SQL}"
+    found["format_answers"] = with_sql("").rstrip() + f", {ctes} select number, label, value from ({LINES_SQL})"
+    every = ", ".join(f"{k} as ({v})" for k, v in QUESTION_SQL.items())
+    found["snapshot_payload"] = with_sql("").rstrip() + f", {every} {PAYLOAD_SQL}"
     found["summary"] = with_sql("select count(*) as total_entries, max(date_added) as newest_entry from applicants")
     found["data_notes"] = with_sql(NOTES_SQL)
     found["status_counts"] = with_sql("select status, count(*) as entries from applicants group by 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftworks.functions import text as t
 from siftworks.operators import cleaning, loading
-from siftworks.plans.views import applicants, raw_entries, table, with_sql
+from siftworks.plans.views import applicants, raw_entries, sparse_entries, table, with_sql
 from siftworks.shared import scratch_path
 from siftworks.sources import json_records as js
 
@@ -25,19 +25,44 @@ ENTRY_SCHEMA = "result_id int, school_text string, program_text string, tags_tex
 
 
 def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cleaning.clean_records(raw_entries(applicants(spark, sf_dir)))
-    return out.select("result_id", "program", "date_added", "status", "decision_date", "term", "us_or_international", "gpa", "gre", "gre_v", "gre_aw", "comments", F.size("other_tags").alias("n_other"))
-
-
-CLEAN_SQL = with_sql(
-    f"select p_id as result_id, {_PROGRAM} as program, strftime(date_added, '%Y-%m-%d') as date_added, {_STATUS} as status, strftime(date_added, '%Y-%m-%d') as decision_date, "
-    f"{_TERM} as term, {_CITIZEN} as us_or_international, {_GPA} as gpa, gre, gre_v, gre_aw, comments, case when gpa < 0 then 1 else 0 end::int as n_other from applicants"
+    out = cleaning.clean_records(sparse_entries(raw_entries(applicants(spark, sf_dir))))
+    plain = ("result_id", "program", "university", "degree", "date_added", "status", "decision_date", "decision_date_source", "term", "us_or_international", "gpa", "gre", "gre_v", "gre_aw", "comments")
+    raw = ("raw.school", "raw.degree", "raw.decision", "raw.date_of_notification")
+    return out.select(*plain, F.size("other_tags").alias("n_other"), *[F.col(c).alias(c.replace(".", "_")) for c in raw], F.size("raw.tags").alias("n_raw_tags"))
+
+
+_SPARSE = f"""
+, k as (select *, p_id % 11 as k, p_id % 11 not in (5, 6) as has, {_SCHOOL} as school, trim(regexp_replace(split_part(program, ', ', 1), ' +', ' ', 'g')) as prog from applicants
+), d as (select *, case when k = 3 then date '2020-01-02' else date_added end as added, strftime(date_added, '%m-%d') as md from k
+), cleaned as (
+  select p_id, case when k = 1 then 'Json ' || prog else prog end || ', ' || case when k = 0 then 'Json ' || school else school end as program,
+    case when k = 0 then 'Json ' || school else school end as university,
+    case when k = 2 or degree is null then case when has then 'json level' end else degree end as degree, added, strftime(added, '%Y-%m-%d') as date_added,
+    case when k = 4 then 'Waitlisted' else {_STATUS} end as status,
+    case when k = 8 then '2021-03-04' when k = 4 then null when k = 3 then strftime(try_cast(case when md > '01-02' then '2019-' else '2020-' end || md as date), '%Y-%m-%d')
+      else strftime(date_added, '%Y-%m-%d') end as decision_date,
+    case when k = 7 then 'Fall 2026' else {_TERM} end as term, case when k = 7 or us_or_international is null then case when has then 'American' end else {_CITIZEN} end as us_or_international,
+    case when k = 7 or {_GPA} is null then case when has then 3.8 end else gpa end as gpa, case when k = 7 or gre is null then case when has then 165.0 end else gre end as gre,
+    case when k <> 7 then gre_v end as gre_v, case when k <> 7 then gre_aw end as gre_aw, coalesce(comments, case when has then 'json note' || chr(10) || 'two' end) as comments,
+    case when gpa < 0 and k <> 7 then 1 else 0 end::int as n_other, case when k <> 0 then school end as raw_school, case when k <> 2 then degree end as raw_degree,
+    case when k <> 4 then trim(status) || ' on ' || strftime(date_added, '%b %d') end as raw_decision,
+    case when k = 8 then '2021-03-04T00:00:00Z' when has then '' end as raw_date_of_notification, case when k = 7 then 0 else {_N_TAGS} end::int as n_raw_tags
+  from d
+)"""
+
+
+def _with_cleaned(body: str) -> str:
+    return with_sql("").rstrip() + f"{_SPARSE} {body}"
+
+
+CLEAN_SQL = _with_cleaned(
+    "select p_id as result_id, * exclude (p_id, added), case when raw_date_of_notification > '' then 'site_json' when decision_date is not null then 'badge_year_inferred' end as decision_date_source from cleaned"
 )
 
 
 def record_to_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cleaning.record_to_row(cleaning.clean_records(raw_entries(applicants(spark, sf_dir))).drop("result_id"))
-    return out.select("p_id", "program", "date_added", "status", "gpa", "degree")
+    out = cleaning.record_to_row(cleaning.clean_records(sparse_entries(raw_entries(applicants(spark, sf_dir)))).drop("result_id"))
+    return out.select("p_id", "program", "date_added", "status", "gpa", "degree", "comments")
 
 
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +191,7 @@ def oracle_sql() -> dict[str, str]:
     late = "select p_id, program, gpa from applicants where p_id % 3 <> 0 and p_id % 2 <> 0"
     return {
         "clean_records": CLEAN_SQL,
-        "record_to_row": with_sql(f"select p_id, {_PROGRAM} as program, date_added, {_STATUS} as status, {_GPA} as gpa, degree from applicants"),
+        "record_to_row": _with_cleaned("select p_id, program, added as date_added, status, gpa, degree, comments from cleaned"),
         "dedupe_first": "select user_id, min(event_id) as event_id, arg_min(event_type, event_id) as event_type, arg_min(value, event_id) as value from events group by 1",
         "insert_new": with_sql("select p_id, program from applicants where p_id % 3 <> 0 and p_id % 2 <> 0"),
         "load_records": with_sql(

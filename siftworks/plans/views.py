@@ -75,3 +75,20 @@ def raw_entries(applicant_rows: DataFrame) -> DataFrame:
         F.lit("https://example.com/survey?page=1").alias("source_page_url"),
         F.lit("2026-09-20T12:00:00+00:00").alias("scraped_at"),
     )
+
+
+def sparse_entries(entries: DataFrame) -> DataFrame:
+    """Raw entries with the page's JSON record, whose values differ from the visible ones; by result_id % 11 a visible field is missing, or the record is missing (5) or damaged (6)."""
+    k = F.col("result_id") % 11
+    at = {0: "school_text", 1: "program_text", 2: "degree_text", 3: "date_added_text", 4: "decision_text"}
+    blank = {name: F.when(k == i, F.lit("  " if i == 1 else None)).otherwise(F.col(name)) for i, name in at.items()}
+    record = F.to_json(
+        F.struct(
+            F.col("result_id").alias("id"), F.concat(F.lit("Json  "), "school_text").alias("school"), F.concat(F.lit("Json "), "program_text").alias("program"), F.lit(" json level").alias("level"),
+            F.lit("2020-01-02T10:00:00Z").alias("created_at"), F.lit("wait  listed").alias("decision"), F.lit("fall").alias("season"), F.lit(2026).alias("year"), F.lit("american").alias("status"),
+            F.lit("3.80").alias("ugpa"), F.lit(165).alias("greq"), F.lit(0).alias("grev"), F.lit("").alias("grew"), F.lit("json  note\n\n two").alias("notes"),
+            F.when(k == 8, "2021-03-04T00:00:00Z").otherwise("").alias("date_of_notification"),
+        )
+    )
+    tags = F.when(k == 7, F.lit(None).cast("array<string>")).otherwise(F.col("tags_text"))
+    return entries.withColumns(blank | {"tags_text": tags, "listing_json": F.when(k == 6, F.substr(record, F.lit(1), F.lit(40))).when(k != 5, record)})
