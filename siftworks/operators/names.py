@@ -229,7 +229,8 @@ def standardize_names(
 
     programs and universities are (aliases, canon) tables.
     """
-    # written down: one row per distinct text, which the steps below read again
+    # written down: canonical names, and one row per distinct text, which the steps below read again
+    programs, universities = ((aliases, materialize(canon.select("name").distinct(), "canon")) for aliases, canon in (programs, universities))
     answers = materialize(merge_answers(cache, scorer(pending_texts(rows, cache, column, sequence))), "answers")
     final = answers.select("text")
     for name, normalize, tables in (("program", normalize_program, programs), ("university", normalize_university, universities)):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,21 +17,48 @@ LINK = "at int, href string, text string, in_nav boolean"
 _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
-class _Page(HTMLParser):
-    """Rows of the page's tables (cells, links, spans, badges, paragraphs), its links, and its embedded JSON."""
+# Comments and declarations, raw text of scripts and styles, tags.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>""", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+
+
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), unescape(max(values)))
+    return found
+
+
+class _Page:
+    """Rows of the page's first table (cells, links, spans, badges, paragraphs), its links, and its embedded JSON."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.links: list[list] = []
         self.payload: str | None = None
         self.tables, self.first = 0, True  # only the first table is read
-        self.open: list[list[str]] = []  # texts being gathered
         self.nav = 0
-        self.kinds: list[tuple[str, list[str] | None]] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = dict(attrs)
+        self.kinds: list[tuple[str, list[str] | None]] = []  # open tags, and where the texts inside them are gathered
+
+    def feed(self, html: str) -> None:
+        at = 0
+        for token in _TOKEN.finditer(html):
+            if self.kinds and token.start() > at:
+                self.handle_data(unescape(html[at : token.start()]))
+            at = token.end()
+            close, tag, rest = token.group(2, 3, 4)
+            if not tag:
+                continue
+            tag = tag.lower()
+            if close:
+                self.handle_endtag(tag)
+            else:
+                # other tags' attributes are not asked for
+                self.handle_starttag(tag, _attributes(rest) if rest and tag in ("a", "div", "tr") else {})
+        if self.kinds:
+            self.handle_data(unescape(html[at:]))
+
+    def handle_starttag(self, tag: str, a: dict[str, str]) -> None:
         classes = (a.get("class") or "").split()
         texts: list[str] | None = None
         inside = self.first and self.tables > 0
@@ -72,9 +100,9 @@ class _Page(HTMLParser):
         if tag == "table" and self.tables:
             self.tables -= 1
             self.first = self.first and self.tables > 0
-        while any(k == tag for k, _ in self.kinds):
-            if self.kinds.pop()[0] == tag:
-                break
+        at = next((i for i in range(len(self.kinds) - 1, -1, -1) if self.kinds[i][0] == tag), None)
+        if at is not None:
+            del self.kinds[at:]
 
     def handle_data(self, data: str) -> None:
         for _, texts in self.kinds:
@@ -89,7 +117,6 @@ def _flat(texts: list[str]) -> str | None:
 def parse_page(html: str | None) -> _Page:
     page = _Page()
     page.feed(html or "")
-    page.close()
     return page
 
 
