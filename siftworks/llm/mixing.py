@@ -7,8 +7,8 @@ documents: sizes are summed by source and hash bucket, the bucket in which the b
 three times over, and the last one is taken or left, whichever is nearer. A smaller budget takes a part
 of what a larger one takes.
 
-Edge cases: null texts have size 0; a null source is a source of its own, last in order; repeated rows share a hash and
-are taken or left together; an empty table gives an empty result; sources without words have target 0.
+Edge cases: null texts have size 0; a null source is a source of its own, last in order; rows equal in id and text share a hash and
+are taken or left together, rows without an id only if their texts are equal; an empty table gives an empty result; sources without words have target 0.
 """
 
 from __future__ import annotations
@@ -35,14 +35,19 @@ def source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
 
 
+def row_key() -> Column:
+    """A key of id and text: rows without an id are told apart by their texts."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
+
+
 def word_sizes(docs: DataFrame, key: Column | None = None) -> DataFrame:
-    """(doc_id, source, skey, size, h) per row; h is the hash of ``key`` (the id if it is not given)."""
+    """(doc_id, source, skey, size, h) per row; h is the hash of ``key`` (``row_key`` if it is not given)."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         source_key().alias("skey"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        key_hash(F.col("doc_id") if key is None else key).alias("h"),
+        key_hash(row_key() if key is None else key).alias("h"),
     )
 
 
@@ -113,5 +118,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
 def repeat_rows(docs: DataFrame, key: Column, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Each row of ``docs`` (doc_id, source, text, ...) as often as the mix takes it; rows are chosen by the hash of ``key``."""
     limits = materialize(source_limits(materialize(word_sizes(docs, key), "mix-sizes"), weights, max_repeat), "mix-limits")
-    held = docs.select("*", source_key().alias("skey"), key_hash(key).alias("h")).join(limits.select("skey", "copies", "threshold"), "skey")
-    return held.select(F.explode(F.array_repeat(F.lit(1), times_taken().cast("int"))), *docs.columns).select(*docs.columns)
+    # the row as one value, so that no column of it meets the names used here
+    held = docs.select(F.struct("*").alias("row"), source_key().alias("skey"), key_hash(key).alias("h")).join(limits.select("skey", "copies", "threshold"), "skey")
+    return held.select("row", F.explode(F.array_repeat(F.lit(1), times_taken().cast("int")))).select("row.*")

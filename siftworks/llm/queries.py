@@ -174,7 +174,7 @@ def op9_sql() -> str:
     return r"""
 with sizes as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    ('0x' || left(md5(cast(doc_id as varchar)), 9))::bigint as h
+    ('0x' || left(md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 9))::bigint as h
   from documents
 ), totals as (
   select source, sum(size)::bigint as source_size from sizes group by source
