@@ -152,10 +152,13 @@ def held_out(id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranker:
-    """Learn from ``labels`` (doc_id, quality) rows that aren't held out; features are computed on the executors."""
+    """Learn from ``labels`` (doc_id, quality) rows that aren't held out; features are computed on the executors.
+
+    An id counts once, however many rows have it: with its lower label, and with the text whose features come first in order.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(
         F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~F.coalesce(held_out(), F.lit(True))
-    )
+    ).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = usable.filter("quality = 1").orderBy(*order).limit(max_labelled).unionByName(
         usable.filter("quality = 0").orderBy(*order).limit(max_labelled)
@@ -171,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 rows = pa.array(list(x), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), rows], ["doc_id", "quality", "x"])
 
-    got = sample.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "quality").toArrow()
+    found = sample.mapInArrow(run, "doc_id long, quality int, x array<double>")
+    got = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(features(pa.array([""]))[0]))), np.zeros(0))
     x = np.array(got["x"].to_pylist(), dtype=float)
@@ -179,7 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def score_documents(docs: DataFrame, model: Ranker) -> DataFrame:
-    """``docs`` (doc_id, text) with its score; the other columns of ``docs`` stay."""
+    """``docs`` (doc_id, text, ...) with score and predicted in place of columns of these names (and of held_out, which goes); others stay.
+
+    Null and empty texts get the score of a text without words; repeated rows and rows without an id are scored like others.
+    """
     clash = [c for c in docs.columns if c.lower() in ("score", "predicted", "held_out")]
     docs = docs.drop(*clash)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
