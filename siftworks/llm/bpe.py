@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -45,7 +46,7 @@ BATCH_BYTES = 4 << 20
 DUCKDB_BYTES, DUCKDB_POSITION_BYTES = 96 << 20, 512
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-# The pattern always cuts before a space that a visible character follows, whatever stands before it.
+# public_tokenizers.PATTERN always cuts before a space that a visible character follows, whatever stands before it.
 _LOOSE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -143,6 +144,8 @@ class Codec:
 
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        # known of this pattern; texts of any other are cut by the pattern alone
+        self.cuts_at_spaces = pattern == public_tokenizers.PATTERN
         self.recent = Recent(recent_bytes)
         self.long_piece = long_piece
         self.byte_ids = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
@@ -251,7 +254,9 @@ class Codec:
         return out
 
     def words(self, text: str) -> list[str]:
-        """The text cut before single spaces that a visible character follows; these spaces are left out."""
+        """The text cut before single spaces that a visible character follows; these spaces are left out. One word if the pattern may join across them."""
+        if not self.cuts_at_spaces:
+            return [text]
         return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:

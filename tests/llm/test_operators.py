@@ -95,6 +95,34 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in warc.archive_pages(table, min_bytes=5).filter("payload_bytes < 5").collect()} == {"response"}
 
 
+def test_quality_of_held_out_labels(spark):
+    """Trained and judged on the given tables: rows that are held out rank as they are marked."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality_rank.quality_rank(spark.read.parquet(f"{folder}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").select("score", "quality", "predicted").collect()
+    good, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    assert len(good) > 20 and len(bad) > 20 and auc > 0.98 and np.mean([r.predicted == r.quality for r in got]) > 0.95
+
+
+def test_quality_counts_an_id_once(spark):
+    docs = spark.createDataFrame([(i % 40, "calm words in a row " * 5 if i % 2 else "BUY!! $$$ NOW " * 5) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    many = docs.unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(500)).drop("id"))
+    once, again = quality_rank.train(docs, labels), quality_rank.train(many, labels.unionByName(labels))
+    assert np.array_equal(once.weights, again.weights) and once.cut == again.cut
+    scored = quality_rank.score_documents(docs.selectExpr("*", "'x' as score", "1 as predicted", "2 as held_out", "3 as x"), once)
+    assert scored.columns == ["doc_id", "text", "x", "score", "predicted"] and scored.filter("predicted = 1").count() == 20
+
+
+def test_quality_keeps_ties_at_the_cut():
+    y = np.repeat([0, 1], 50)
+    model = quality_rank.fit(np.repeat([[0.0], [1.0]], 50, axis=0), y)
+    assert ((model.score(np.array([[0.0], [1.0]])) >= model.threshold) == [False, True]).all()
+    level = quality_rank.Ranker(np.zeros(1), np.ones(1), np.ones(1), 1.0)
+    assert level.score(np.array([[1.0]]))[0] >= level.threshold - 1e-15
+
+
 @pytest.fixture(scope="module")
 def tik():
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
@@ -114,6 +142,16 @@ def test_bpe_equals_library(docs, nothing, tik):
     assert back == {i: t or "" for i, t, _ in TEXTS}
 
 
+def test_bpe_of_another_pattern(spark, tik):
+    """A pattern that joins words across spaces."""
+    pattern = r"[a-z]+ [a-z]+|\s+|[^\s]+"
+    texts = ["the cat sat on the mat", "a b  c d e", "", None, " lone word", "x" * 200 + " y"]
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=tik[0], special_tokens={})
+    got = bpe.token_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken"), pattern)
+    want = {i: hashlib.sha256(np.array(other.encode_ordinary(t or ""), dtype="<u4").tobytes()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_sha256 for r in got.collect()} == want
+
+
 def test_bpe_odd_pieces(tik):
     codec = bpe.Codec(tik[0], P.PATTERN, recent_bytes=20_000)
     rng = np.random.default_rng(3)
@@ -293,9 +331,16 @@ def test_mixing(docs, nothing, spark):
     many = spark.createDataFrame([(i, "w " * (i % 7), f"s{i % 5}" if i % 5 else None) for i in range(6000)], "doc_id long, text string, source string")
     rows = mixing.mix_sources(many).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     assert all(abs(r.taken - r.target) <= 6 for r in rows) and abs(sum(r.target for r in rows) - sum(r.source_size for r in rows)) < 1e-6
+    # half of the rows have no id
+    loose = spark.createDataFrame([(None if i % 2 else i, "w " * (i % 7) + f"x{i}", f"s{i % 3}") for i in range(6000)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(loose).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(rows) == 3 and all(abs(r.taken - r.target) <= 7 for r in rows)
     caps = spark.createDataFrame([(1, "a " * 10, "x"), (2, "a " * 1000, "y"), (3, "a " * 10, None)], "doc_id long, text string, source string")
     targets = {r.doc_id: r.target for r in mixing.mix_sources(caps).collect()}
     assert targets == {1: 30.0, 2: 960.0, 3: 30.0}
+    clash = caps.selectExpr("*", "'h' as h", "'k' as skey", "1 as copies", "2 as threshold", "3 as row", "4 as col")
+    took = mixing.repeat_rows(clash, mixing.row_key())
+    assert took.columns == clash.columns and sorted(r.doc_id for r in took.collect())[-3:] == [3, 3, 3] and mixing.repeat_rows(clash.limit(0), mixing.row_key()).count() == 0
 
 
 def test_phrases_against_brute_force(docs, nothing):
