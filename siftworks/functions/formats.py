@@ -27,6 +27,11 @@ def average_with_count(c: Column, n: Column) -> Column:
     return F.concat(average_text(c), F.lit(" (n = "), count_text(n), F.lit(")"))
 
 
+def long_time(c: Column) -> Column:
+    """A time as "October 05, 2026 at 06:00:00 PM UTC"."""
+    return F.concat(F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "MMMM dd, yyyy 'at' hh:mm:ss a"), F.lit(" UTC"))
+
+
 def difference_text(c: Column) -> Column:
     n = F.coalesce(c.cast("long"), F.lit(0))
     return F.when(n > 0, F.concat(F.lit("+"), n.cast("string"))).otherwise(n.cast("string"))

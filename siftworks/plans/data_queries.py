@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftworks.functions import text as t
+from siftworks.functions.formats import long_time
 from siftworks.operators import cleaning, loading
 from siftworks.plans.views import applicants, raw_entries, sparse_entries, table, with_sql
 from siftworks.shared import scratch_path
@@ -172,6 +173,10 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("result_id", added.alias("added"), t.decision_date(when, added).alias("decided"), status.alias("status"))
 
 
+def long_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", long_time(F.col("ts")).alias("shown"))
+
+
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents by collapsed white space."""
     d = table(spark, sf_dir, "documents")
@@ -182,7 +187,7 @@ def queries() -> dict:
     fs = (
         clean_records, record_to_row, dedupe_first, insert_new, load_records, loaded_rows, upsert_keyed, json_round_trip, read_records_json, read_jsonl_tolerant,
         read_jsonl_until_bad, unwrap_rows, gated_ingest,
-        parse_dates, clean_text,
+        parse_dates, long_times, clean_text,
     )
     return {f.__name__: f for f in fs}
 
@@ -206,5 +211,6 @@ def oracle_sql() -> dict[str, str]:
         "unwrap_rows": "select event_id, event_type from events where user_id % 3 in (0, 1)",
         "gated_ingest": with_sql(f"select p_id as result_id, {_SCHOOL} as school_text, 4::int as refused from applicants"),
         "parse_dates": with_sql(f"select p_id as result_id, date_added as added, date_added as decided, {_STATUS} as status from applicants"),
+        "long_times": "select event_id, strftime(ts, '%B %d, %Y at %I:%M:%S %p UTC') as shown from events",
         "clean_text": r"select doc_id, nullif(trim(regexp_replace(text, '[\s]+', ' ', 'g')), '') as flat from documents",
     }

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftworks.functions import text as t
 from siftworks.operators import model_output, names
 from siftworks.plans.views import applicants, with_sql
+from siftworks.shared import scratch_path
+from siftworks.sources.json_records import read_names
 
 _ALIASES = [("JHU", "Johns Hopkins University"), ("CMU", "Carnegie Mellon University"), ("Carnegie-Mellon", "Carnegie Mellon University"), ("EECS", "Computer Science")]
 
@@ -91,6 +94,54 @@ def grow_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.grow_canon(found, canon, names.normalize_university(found, _aliases(spark), canon))
 
 
+def canon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applicants whose school stands in a list file with blank lines, outer space and repeats; a list that is not there names none."""
+    path = scratch_path(spark, "canon")
+    canon = _canon(spark, sf_dir).select(F.concat(F.lit("  "), "name", F.lit(" ")).alias("value"))
+    canon.unionByName(canon).unionByName(canon.select(F.lit("").alias("value"))).write.text(path)
+    rows = applicants(spark, sf_dir).select("p_id", F.element_at(F.split("program", ", "), 2).alias("name"))
+    listed = read_names(spark, path).unionByName(read_names(spark, path + "-missing"))
+    return names.canon_exact(rows, listed)
+
+
+def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal form of every program and school that applicants write, and whether it is known."""
+    part = lambda i: applicants(spark, sf_dir).select(F.element_at(F.split("program", ", "), i).alias("name")).distinct()
+    programs = names.normalize_program(part(1), _aliases(spark), _programs(spark, sf_dir)).withColumn("kind", F.lit("program"))
+    return programs.unionByName(names.normalize_university(part(2), _aliases(spark), _canon(spark, sf_dir)).withColumn("kind", F.lit("university")))
+
+
+NORMALIZE_SQL = with_sql("""
+select distinct split_part(program, ', ', 1) as original, llm_generated_program as name, true as known, 'program' as kind from applicants
+union select distinct split_part(program, ', ', 2), case when llm_generated_university = 'Unknown' then 'Summit University' else llm_generated_university end, llm_generated_university <> 'Unknown', 'university' from applicants""")
+
+
+def name_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, distinctive words, parts and abbreviations of programs as they are, with small words and capitals, and with a trailing abbreviation."""
+    k, program = F.col("p_id") % 3, F.col("program")
+    text = F.when(k == 0, program).when(k == 1, F.concat(F.lit("the "), program, F.lit(", School of OLD ART2"))).otherwise(F.concat(program, F.lit(" (ABC/d)")))
+    rows = applicants(spark, sf_dir).groupBy(text.alias("text")).agg(F.count("*").alias("n"))
+    c = F.col("text")
+    return rows.select("*", t.title(c).alias("title"), t.smart_title(c).alias("smart"), t.distinctive(c).alias("words"), F.array_join(t.source_parts(c), "|").alias("parts"), t.expand_abbreviation(c).alias("plain"))
+
+
+_SMALL = ", ".join(f"'{w}'" for w in t.SMALL_WORDS)
+_GENERIC = ", ".join(f"'{w}'" for w in t.GENERIC_WORDS)
+TEXTS_SQL = with_sql("").rstrip() + f"""
+, texts as (select case p_id % 3 when 0 then program when 1 then 'the ' || program || ', School of OLD ART2' else program || ' (ABC/d)' end as text, program, p_id % 3 as k from applicants
+), grouped as (select text, program, k, count(*) as n from texts group by all
+), split as (
+  select *, list_filter(string_split(text, ' '), lambda w: w <> '') as w, regexp_extract_all(lower(text), '[a-z0-9]+') as all_words, list_transform(string_split(text, ','), lambda x: trim(x)) as p from grouped
+), kept as (select *, list_filter(all_words, lambda x: x not in ({_GENERIC})) as own from split)
+select text, n,
+  array_to_string(list_transform(range(1, length(text) + 1), lambda i: case when i = 1 or not regexp_matches(lower(text)[(i - 1)::int], '[a-z]') then upper(text[i::int]) else lower(text[i::int]) end), '') as title,
+  array_to_string(list_transform(w, lambda x, i: case when i > 1 and lower(x) in ({_SMALL}) then lower(x) when upper(x) = x and lower(x) <> x and length(x) <= 6 then x else upper(x[1]) || x[2:] end), ' ') as smart,
+  array_to_string(case when len(own) > 0 then own else all_words end, ' ') as words,
+  array_to_string(case len(p) when 2 then [p[1], p[2], p[1] || ', ' || p[2]] else [p[1], p[2], p[3], p[1] || ', ' || p[2], p[1] || ', ' || p[2] || ', ' || p[3], p[2] || ', ' || p[3]] end, '|') as parts,
+  case when k = 2 then program else text end as plain
+from kept"""
+
+
 _TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda x: upper(x[1]) || x[2:]), '-')), ' ')"
 #: Outputs by kind: 0 and 1 have an answer, 5 and 9 an odd one, the others none.
 MODEL_SQL = with_sql(f"""
@@ -104,12 +155,13 @@ select text, program, university, by_rules, count(*) as n from (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (model_outputs, fuzzy_canon, standardize_names, pending_texts, merge_answers, grow_canon)}
+    return {f.__name__: f for f in (model_outputs, fuzzy_canon, canon_exact, normalize_names, name_texts, standardize_names, pending_texts, merge_answers, grow_canon)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "model_outputs": MODEL_SQL,
+        "model_outputs": MODEL_SQL, "normalize_names": NORMALIZE_SQL, "name_texts": TEXTS_SQL,
+        "canon_exact": with_sql("select p_id, split_part(program, ', ', 2) as name from applicants where split_part(program, ', ', 2) in (select llm_generated_university from applicants where llm_generated_university <> 'Unknown')"),
         "fuzzy_canon": with_sql("select p_id, llm_generated_university as match from applicants where llm_generated_university <> 'Unknown'"),
         "standardize_names": with_sql(
             "select p_id, llm_generated_program, case when llm_generated_university = 'Unknown' then 'Summit University' else llm_generated_university end as llm_generated_university from applicants"
