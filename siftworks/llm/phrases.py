@@ -179,9 +179,11 @@ def locate(words: np.ndarray, word_off: np.ndarray, ids: np.ndarray, starts: np.
     inner = np.unique(words[(starts[:, None] + np.arange(n)).ravel()])
     where = np.minimum(np.searchsorted(inner, words), len(inner) - 1)
     numbers = np.where(inner[where] == words, where + 1, 0)  # 0: in no phrase
-    # a state's followers are searched one by one, so a word is two symbols of an alphabet of twice the root's size
+    # a state's followers are searched one by one, so a word is two characters of an alphabet of twice the root's size
     side = int(len(inner) ** 0.5) + 1
-    symbols = np.column_stack([numbers // side, numbers % side + len(inner)]).ravel()
+    symbols = np.column_stack([numbers // side, numbers % side + side]).ravel() + 1
+    symbols[symbols >= 0xD800] += 0x800  # these stand for no character
+    text = symbols.astype("<u4").tobytes().decode("utf-32-le")
     # a word in no phrase sends an automaton back to its root: stretches between such words that are too short are passed over
     known = np.concatenate([[0], np.cumsum(numbers > 0)])
     at = bs.window_starts(word_off, n)
@@ -193,15 +195,12 @@ def locate(words: np.ndarray, word_off: np.ndarray, ids: np.ndarray, starts: np.
     begins, stops = cuts[:-1][near[cuts[:-1]]], cuts[1:][near[cuts[:-1]]]
     owners = ids[np.searchsorted(word_off, begins, "right") - 1]
     for at in range(0, len(starts), AUTOMATON_PHRASES):
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        some = starts[at : at + AUTOMATON_PHRASES]
-        keys = symbols[2 * some[:, None] + np.arange(2 * n)]
-        for k, key in enumerate(map(tuple, keys.tolist()), at):
-            machine.add_word(key, k)
-        del keys
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, start in enumerate(starts[at : at + AUTOMATON_PHRASES].tolist(), at):
+            machine.add_word(text[2 * start : 2 * (start + n)], k)
         machine.make_automaton()
         for s, e, owner in zip(begins.tolist(), stops.tolist(), owners.tolist(), strict=True):
-            hits = np.array(list(machine.iter(tuple(symbols[2 * s : 2 * e].tolist()))), dtype=np.int64).reshape(-1, 2)
+            hits = np.array(list(machine.iter(text[2 * s : 2 * e])), dtype=np.int64).reshape(-1, 2)
             if len(hits):
                 last = hits[limits[hits[:, 1]] < owner, 0] // 2
                 covered[s:e] |= bs.cover(last - n + 1, n, e - s)
