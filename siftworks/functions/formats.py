@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftworks.operators import analysis
+from siftworks.shared import materialize
 
 MISSING = "N/A"
 
@@ -68,13 +69,14 @@ def _lines() -> Column:
 def snapshot_payload(t: DataFrame) -> DataFrame:
     """One row: payload, a JSON text of the summary and of all answers: number, lines (label, value), columns and table, lists of texts (nulls as the missing text)."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-    scalars = analysis.scalar_answers(t, *analysis.summary_columns()).select("total_entries", "newest_entry", _lines().alias("said"))
+    # written down: the rows are read once
+    scalars, *tables = analysis.answers_of_cells(materialize(analysis.answer_cells(t), "answers"))
+    scalars = scalars.select("total_entries", "newest_entry", _lines().alias("said"))
     lines = lambda n: F.transform(F.filter("said", lambda x: x["number"] == n), lambda x: F.array(x["label"], x["value"]))
     answer = lambda n, lines, columns, table: F.struct(F.lit(n).alias("number"), lines.alias("lines"), columns.alias("columns"), table.alias("table"))
     none, no_rows = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
     whole = scalars.select("total_entries", "newest_entry", *[answer(n, lines(n), none, no_rows).alias(f"a{n}") for n in range(1, 10)])
-    for n in (10, 11):
-        df = analysis.QUESTIONS[f"q{n}"](t)  # few rows, in order
+    for n, df in zip((10, 11), tables, strict=True):  # few rows, in order
         table = df.select(F.array(*map(text, df.columns)).alias("cells")).agg(F.collect_list("cells").alias("table"))
         whole = whole.crossJoin(table.select(answer(n, no_rows, F.array(*map(F.lit, df.columns)), F.col("table")).alias(f"a{n}")))  # one row each
     summary = F.struct("total_entries", F.col("newest_entry").cast("string").alias("newest_entry"))

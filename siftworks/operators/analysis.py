@@ -129,8 +129,8 @@ QUESTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def scalar_answers(t: DataFrame, *more: Column) -> DataFrame:
-    """q01 to q09, and the aggregates ``more``, from one scan: one row, the questions' columns prefixed by their key."""
+def scalar_answers(t: DataFrame) -> DataFrame:
+    """q01 to q09 from one scan: one row, the questions' columns prefixed by their key."""
     count_where = lambda w: F.count_if(w)
     f26, f25, acc = fall(2026), fall(2025), p.accepted()
     classified = p.one_of("us_or_international", p.NATIONALITIES)
@@ -152,16 +152,11 @@ def scalar_answers(t: DataFrame, *more: Column) -> DataFrame:
         count_where(original).alias("q08_accepted_cs_phd_entries"),
         count_where(original).alias("q09_original_field_count"), count_where(standard).alias("q09_llm_field_count"),
         (count_where(standard) - count_where(original)).alias("q09_difference"),
-        *more,
     )
 
 
-def summary_columns() -> list[Column]:
-    return [F.count("*").alias("total_entries"), F.max("date_added").alias("newest_entry")]
-
-
 def summary(t: DataFrame) -> DataFrame:
-    return t.agg(*summary_columns())
+    return t.agg(F.count("*").alias("total_entries"), F.max("date_added").alias("newest_entry"))
 
 
 def data_notes(t: DataFrame) -> DataFrame:
@@ -182,3 +177,40 @@ def data_notes(t: DataFrame) -> DataFrame:
 
 def status_counts(t: DataFrame) -> DataFrame:
     return t.groupBy("status").agg(F.count("*").alias("entries")).orderBy(F.desc("entries"), F.asc_nulls_last("status"))
+
+
+def answer_cells(t: DataFrame) -> DataFrame:
+    """Counts and sums of all questions by degree and standardized university: what every answer and the summary can be added up from, in one scan."""
+    f26, f25, acc, gpa = fall(2026), fall(2025), p.accepted(), p.valid_gpa()
+    phd, american = _accepted_phd(), fall(2026) & p.equals("us_or_international", "american") & p.valid_gpa()
+    jhu = p.matches("program", p.JHU) & p.matches("program", p.COMPUTER_SCIENCE) & p.matches("degree", p.MASTERS)
+    counts = {
+        "f26": f26, "f26_acc": f26 & acc, "f25": f25, "f25_acc": f25 & acc, "international": p.equals("us_or_international", "international"),
+        "classified": p.one_of("us_or_international", p.NATIONALITIES), "jhu": jhu, "original": phd & _cs_at_target("program", "program"),
+        "standard": phd & _cs_at_target("llm_generated_program", "llm_generated_university"), "total": F.lit(True),
+    }
+    means = {avg: (c, ok()) for c, avg, _, ok in _METRICS} | {"american": ("gpa", american), "accepted": ("gpa", f26 & acc & gpa)}
+    sums = [x for name, (c, where) in means.items() for x in (F.sum(F.when(where, F.col(c))).alias(f"{name}_sum"), F.count(F.when(where, F.col(c))).alias(f"{name}_n"))]
+    return t.groupBy("degree", "llm_generated_university").agg(*[F.count_if(w).alias(n) for n, w in counts.items()], *sums, F.max("date_added").alias("newest"))
+
+
+def answers_of_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``answer_cells``: scalar_answers with the summary's columns, q10 and q11."""
+    n = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    avg = lambda name: rounded(F.sum(f"{name}_sum") / F.nullif(n(f"{name}_n"), F.lit(0)))
+    values = {
+        "q01_fall_2026_entries": n("f26"), "q02_international_entries": n("international"), "q02_classified_entries": n("classified"), "q02_percent_international": percent(n("international"), n("classified")),
+        **{k: v for _, name, count, _ in _METRICS for k, v in ((f"q03_{name}", avg(name)), (f"q03_{count}", n(f"{name}_n")))},
+        "q04_avg_gpa": avg("american"), "q04_applicants_with_gpa": n("american_n"), "q05_accepted_entries": n("f25_acc"), "q05_fall_2025_entries": n("f25"), "q05_acceptance_percent": percent(n("f25_acc"), n("f25")),
+        "q06_avg_gpa": avg("accepted"), "q06_applicants_with_gpa": n("accepted_n"), "q07_jhu_cs_masters_entries": n("jhu"), "q08_accepted_cs_phd_entries": n("original"),
+        "q09_original_field_count": n("original"), "q09_llm_field_count": n("standard"), "q09_difference": n("standard") - n("original"), "total_entries": n("total"), "newest_entry": F.max("newest"),
+    }
+
+    def by(column: str, name: str, *more: Column) -> DataFrame:
+        grouped = cells.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias(name))
+        return grouped.agg(F.sum("f26").alias("entries"), F.sum("f26_acc").alias("acceptances"), percent(F.sum("f26_acc"), F.sum("f26")).alias("acceptance_percent"), *more)
+
+    degrees = by("degree", "degree", avg("accepted").alias("avg_accepted_gpa")).filter(F.col("entries") >= MIN_DEGREE_ENTRIES)
+    schools = by("llm_generated_university", "university").filter((F.col("university") != "Unknown") & (F.col("entries") > 0))
+    top = lambda df, key, limit: df.orderBy(F.desc("entries"), key).limit(limit)
+    return cells.agg(*[v.alias(k) for k, v in values.items()]), top(degrees, "degree", RESULT_LIMIT), top(schools, "university", TOP_UNIVERSITIES)
