@@ -3,6 +3,7 @@
 import base64
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,14 @@ def test_pages_are_parsed_once(spark):
     assert {r["url"]: len(r["links"]) for r in parsed.collect()} == {"u": 3, "v": 0, "w": 3, "x": 0}
 
 
+def test_a_batch_of_pages_is_parsed_in_parts(spark):
+    batch = pa.RecordBatch.from_pydict({"url": [str(i) for i in range(1000)], "html": [PAGE] * 1000})
+    parts = list(pages.parse_batches(iter([batch]), ["url"]))
+    # what is held at once does not grow with the batch
+    assert max(p.num_rows for p in parts) <= pages.PAGES_AT_ONCE < 100 and [u for p in parts for u in p.column("url").to_pylist()] == [str(i) for i in range(1000)]
+    assert all(len(e) == 1 and e[0]["result_id"] == 3 for p in parts for e in p.column("entries").to_pylist())
+
+
 def test_cached_pages(spark, tmp_path):
     (tmp_path / "page_00002.html").write_text("<!-- bot source-url: https://h/2 fetched-at: 2026-09-02T00:00:00+00:00 -->\n" + PAGE)
     (tmp_path / "page_00001.html").write_text("<!-- bot source-url: https://h/1 -->\n" + PAGE.replace(">S<", ">first<"))
