@@ -185,3 +185,13 @@ def test_cached_pages(spark, tmp_path):
     got = {r["result_id"]: r for r in pages.reparse_pages(spark, str(tmp_path)).collect()}
     assert set(got) == {3, 4} and (got[3]["school_text"], got[3]["source_page_url"]) == ("first", "https://h/1")
     assert got[4]["source_page_url"].endswith("page_00003.html") and all(len(r["scraped_at"]) == 25 for r in got.values())
+
+
+def test_a_cache_is_a_folder_or_a_table(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / f"page_{n}.html").write_text(f"<!-- source-url: https://h/{n} -->\n" + PAGE)
+    files = pages.cached_files(spark, str(tmp_path))
+    found = pages.reparse_files(files)
+    assert found.collect() == pages.reparse_pages(spark, str(tmp_path)).collect() and [r["source_page_url"] for r in found.collect()] == ["https://h/1"]
+    # each page is parsed once
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
