@@ -149,7 +149,8 @@ def gated_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, target = scratch_path(spark, "gated"), scratch_path(spark, "published")
     entries = raw_entries(applicants(spark, sf_dir)).select("result_id", "school_text")
     arrays = entries.groupBy(F.floor(F.col("result_id") / 1000).alias("file")).agg(F.to_json(F.collect_list(F.struct("result_id", "school_text"))).alias("value"))
-    arrays.select("value").repartition(1).write.text(f"{folder}/several")
+    # every file holds two lists
+    arrays.select(F.concat_ws("\n", "value", "value").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/several")
     size = lambda path: spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/one")
     arrays.select(F.substr("value", F.lit(1), F.char_length("value") - 2).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/cut")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftworks.operators import pages
+from siftworks.plans import data_queries
 from siftworks.sources import json_records as js
 
 SCHEMA = "id int, name string"
@@ -73,6 +74,14 @@ def test_gated_ingest(spark, tmp_path):
     assert ids() == [1, 2]
 
 
+def test_no_file_of_the_gated_query_grows_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(data_queries, "scratch_path", lambda spark, label: f"file://{tmp_path}/{label}")
+    assert {r["refused"] for r in data_queries.gated_ingest(spark, "/root/testdata/sf0.001").collect()} == {4}
+    # a file of several lists for each file of one
+    one, several = (len(list(tmp_path.glob(f"gated/{n}/part-*"))) for n in ("one", "several"))
+    assert one == several > 1
+
+
 def cursor(text):
     return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
 
