@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftworks.operators import pages
-from siftworks.plans import data_queries
+from siftworks.plans import data_queries, page_queries
 from siftworks.sources import json_records as js
 
 SCHEMA = "id int, name string"
@@ -120,6 +120,14 @@ def test_cursor(spark, text, fields):
     assert text != GOOD or got["s"] == cursor(text)
 
 
+def test_a_cursor_is_decoded_once(spark):
+    made = frame(spark, [cursor(GOOD), cursor(GOOD.replace(":true", ":0")), "zz", None])
+    got = made.select(pages.decoded_and_safe(F.col("c")).alias("x"), pages.decode_cursor(F.col("c")).alias("d"), pages.safe_cursor(F.col("c")).alias("safe"))
+    assert all((r["x"] and (r["x"]["d"], r["x"]["safe"])) in ((r["d"], r["safe"]), r["d"]) for r in got.collect())
+    query = page_queries.decode_cursor(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert query.lower().count("parsejson") == 1
+
+
 def test_odd_cursors_and_urls(spark):
     assert [r[0] for r in frame(spark, ["zz", "!!", None, "e30"]).select(pages.decode_cursor(F.col("c"))).collect()] == [None] * 4
     c, bad = cursor(GOOD), cursor("{}")
