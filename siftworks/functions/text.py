@@ -54,8 +54,14 @@ def parse_citizenship(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """A date in one of the four full layouts, else null."""
-    return F.coalesce(*[F.try_to_date(c, f) for f in FULL_DATES])
+    """A date in one of the four full layouts, else null. A layout is tried only where its comma, dash or short month can be."""
+    short, full, day_first, numeric = [F.try_to_date(c, f) for f in FULL_DATES]
+    return F.when(c.contains(","), F.when(_short_month(c), short).otherwise(full)).otherwise(F.when(c.contains("-"), numeric).otherwise(day_first))
+
+
+def _short_month(c: Column) -> Column:
+    """Whether three characters and a space begin the text, as a short month does (and May, which is its own full name)."""
+    return F.substr(c, F.lit(4), F.lit(1)) == " "
 
 
 def iso_date(c: Column) -> Column:
@@ -77,29 +83,43 @@ def split_decision(c: Column) -> tuple[Column, Column]:
     return status, F.when(known, blank_to_null(F.trim(F.regexp_extract(c, DECISION, 2))))
 
 
-def decision_date(text: Column, added: Column) -> Column:
-    """A full date as it is; a month and day in the year of ``added``, or the year before if they'd be after it."""
-    month_day = F.coalesce(*[F.try_to_date(F.concat(F.lit("2000 "), text), f"yyyy {f}") for f in MONTH_DAYS])
-    after = F.month(month_day) * 100 + F.dayofmonth(month_day) > F.month(added) * 100 + F.dayofmonth(added)
+def month_day(text: Column) -> Column:
+    """A month and day in one of the four layouts as a date of 2000, else null."""
+    short, day_short, full, day_full = [F.try_to_date(F.concat(F.lit("2000 "), text), f"yyyy {f}") for f in MONTH_DAYS]
+    return F.when(F.substr(text, F.lit(1), F.lit(1)).between("0", "9"), F.coalesce(day_short, day_full)).when(_short_month(text), short).otherwise(full)
+
+
+def decision_date(text: Column, added: Column, day: Column | None = None) -> Column:
+    """A full date as it is; a month and day in the year of ``added``, or the year before if they'd be after it.
+
+    ``day`` is the text's ``month_day``. All are used several times: columns that are computed already spare work.
+    """
+    day = month_day(text) if day is None else day
+    after = F.month(day) * 100 + F.dayofmonth(day) > F.month(added) * 100 + F.dayofmonth(added)
     year = F.year(added) - after.cast("int")
-    placed = F.try_to_date(F.concat(year.cast("string"), F.date_format(month_day, "-MM-dd")), "yyyy-MM-dd")
-    return F.when(month_day.isNotNull(), placed).otherwise(parse_date(text))
+    placed = F.try_to_date(F.concat(year.cast("string"), F.date_format(day, "-MM-dd")), "yyyy-MM-dd")
+    return F.when(day.isNotNull(), placed).otherwise(parse_date(text))
 
 
-def to_number(c: Column) -> Column:
-    """A finite number in plain or exponent notation, else null."""
+def read_number(c: Column) -> Column:
+    """A number in plain or exponent notation, else null; too large a one is infinite."""
     text = F.trim(c)
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def payload_number(c: Column) -> Column:
-    """A page payload's number; blank and zero mean not given."""
-    return F.nullif(to_number(c), F.lit(0.0))
+def finite(c: Column) -> Column:
+    """The number if it is finite, else null."""
+    return F.when(F.abs(c) < float("inf"), c)
+
+
+def to_number(c: Column) -> Column:
+    """A finite number in plain or exponent notation, else null."""
+    return finite(read_number(c))
 
 
 #: Kinds of badges; a badge is of the first kind that fits it.
 KINDS = {"term": TERM, "us_or_international": CITIZENSHIP, "gre_aw": WRITING, "gre_v": VERBAL, "gre": GENERAL, "gpa": GPA}
+NUMBERS = ("gre_aw", "gre_v", "gre", "gpa")
 
 
 def tag_kinds(tags: Column) -> Column:
@@ -115,17 +135,23 @@ def tag_kinds(tags: Column) -> Column:
     return F.transform(kept, lambda x: F.struct(kind(x).alias("kind"), x.alias("tag")))
 
 
-def by_kind(kinds: Column) -> dict[str, Column]:
-    """The value of each kind from ``tag_kinds``: the last badge of a kind counts; other_tags are those of none."""
+def last_tags(kinds: Column) -> dict[str, Column]:
+    """The last badge of each kind from ``tag_kinds``, of a number only its digits."""
     last = lambda name: F.try_element_at(F.filter(kinds, lambda x: x["kind"] == name), F.lit(-1))["tag"]
-    found = {"term": parse_term(last("term")), "us_or_international": parse_citizenship(last("us_or_international"))}
-    found |= {n: to_number(F.regexp_extract(last(n), KINDS[n], 1)) for n in ("gre_aw", "gre_v", "gre", "gpa")}
-    return found | {"other_tags": F.transform(F.filter(kinds, lambda x: x["kind"].isNull()), lambda x: x["tag"])}
+    return {n: last(n) if n in ("term", "us_or_international") else F.regexp_extract(last(n), pattern, 1) for n, pattern in KINDS.items()}
+
+
+def other_tags(kinds: Column) -> Column:
+    """The badges of no kind."""
+    return F.transform(F.filter(kinds, lambda x: x["kind"].isNull()), lambda x: x["tag"])
 
 
 def classify_tags(tags: Column) -> dict[str, Column]:
-    """Badges by kind."""
-    return by_kind(tag_kinds(tags))
+    """Badges by kind: the last one of a kind counts; other_tags are those of none."""
+    kinds = tag_kinds(tags)
+    last = last_tags(kinds)
+    found = {"term": parse_term(last["term"]), "us_or_international": parse_citizenship(last["us_or_international"])}
+    return found | {n: to_number(last[n]) for n in NUMBERS} | {"other_tags": other_tags(kinds)}
 
 
 # Words that stay lower-case inside a title, and words that don't tell names apart.
