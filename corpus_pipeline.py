@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftworks.llm import bpe, mixing, quality_rank, secret_scan, similar_sets
+from siftworks.llm import bpe, mixing, quality_rank, secret_scan, similar_sets, simhash
 from siftworks.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,12 +36,12 @@ def _row_key(*columns: str) -> Column:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id (nulls last, then by digest) of each group of near-duplicates.
 
-    Near: five-word shingles alike by 0.8 or more. Rows are told apart by a digest of all columns, so no row goes or stays for its id
+    Near: five-word shingles alike by 0.8 or more; links of SimHash fingerprints are checked first, a join finds what they leave apart. Rows are told apart by a digest of all columns, so no row goes or stays for its id
     alone; of rows equal in every column one stays. Null, empty and wordless texts are one group; further columns are not read;
     an empty table gives an empty one.
     """
     rows = docs.select(_row_key(*COLUMNS).alias("row"), *COLUMNS)
-    groups = similar_sets.set_components(rows)
+    groups = similar_sets.set_components(rows, radius=simhash.RADIUS)
     ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     keepers = groups.join(ids, "row").groupBy("component").agg(F.min_by("row", order).alias("row")).select("row")

@@ -61,17 +61,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) per row of ``docs`` (doc_id, text); fp is the fingerprint's bits as a signed integer."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """(key, fp long) per row of ``docs`` (key, text); fp is the fingerprint's bits as a signed integer, a doc_id is a long."""
+    keyed = docs.select(F.col(key).cast("long").alias(key) if key == "doc_id" else F.col(key), "text")
 
     @bs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, "text"):
-                values = np.array([fingerprint(t) for t in part.column("text").to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+                values = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(values.view(np.int64))], [key, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return keyed.mapInArrow(run, f"{key} {keyed.schema[key].dataType.simpleString()}, fp long")
 
 
 def _forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

@@ -15,6 +15,10 @@ round checks what candidates of different components are left. A block of more t
 What grows faster than the input: bit maps of different sets in one block are compared pair by pair, and in the last round
 candidates that are nearly, but not quite alike are checked one by one.
 
+With a ``radius``, fingerprints go first: sets whose SimHash fingerprints are equal, or linked by ``simhash.near_links``, are checked on the
+whole sets, and what is alike forms the components that the join starts from. The join finds the rest, which fingerprints leave apart, so the
+result is the same.
+
 Edge cases: a text with fewer words than a shingle has one shingle of all words; null and empty texts and texts without a word
 have the empty set and are equal; repeated rows share a component; with no rows the result is empty.
 """
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftworks.llm import bytescan as bs
+from siftworks.llm import simhash
 from siftworks.llm.components import connected_components
 from siftworks.shared import discard, materialize
 
@@ -303,8 +308,31 @@ def _checked(pairs: DataFrame, full: DataFrame, alike: tuple[int, int], scratch:
     return _both(near, full, "hashes").filter(same).select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))
 
 
-def set_components(docs: DataFrame, shingle: int = SHINGLE, alike: tuple[int, int] = ALIKE) -> DataFrame:
-    """(row, component long) per row of ``docs`` (row binary, text): rows joined by a path of sets that are alike."""
+def _fingerprint_pairs(docs: DataFrame, signed: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Pairs (fpa < fpb) of sets that fingerprints link: a star for equal fingerprints, and links of those within the radius."""
+    prints = materialize(simhash.fingerprints(docs.select("row", "text"), "row", shingle).withColumnRenamed("fp", "print"), "sets-prints")
+    # repeated rows are told apart by nothing, so each counts once
+    of_sets = materialize(signed.select("row", "fp").distinct().join(prints.distinct(), "row").groupBy("fp").agg(F.min("print").alias("print")), "sets-of-prints")
+    unique = of_sets.groupBy("print").agg(F.min("fp").alias("rep"))
+    equal = of_sets.join(unique, "print").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    near = simhash.near_links(unique.select(F.col("print").alias("fp"), "rep"), radius)
+    pairs = equal.unionByName(near).filter("a <> b").select(F.least("a", "b").alias("fpa"), F.greatest("a", "b").alias("fpb")).distinct()
+    pairs = materialize(pairs, "sets-print-pairs")
+    discard(prints, of_sets)
+    return pairs
+
+
+def _texts_of(docs: DataFrame, unique: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One text of each set of a pair."""
+    chosen = unique.join(_of_pairs(pairs), "fp", "left_semi").select("row")
+    return docs.select("row", "text").dropDuplicates(["row"]).join(chosen, "row", "left_semi")
+
+
+def set_components(docs: DataFrame, shingle: int = SHINGLE, alike: tuple[int, int] = ALIKE, radius: int | None = None) -> DataFrame:
+    """(row, component long) per row of ``docs`` (row binary, text): rows joined by a path of sets that are alike.
+
+    ``radius``: links of fingerprints at most so many bits apart are checked first.
+    """
     signed = materialize(_signed(docs, common_shingles(docs, shingle), shingle, alike), "sets")
     unique = signed.groupBy("fp").agg(F.min(F.struct("row", "bits")).alias("x")).select("fp", "x.row", "x.bits")
     packed = F.shiftleft(F.col("size").cast("long"), 32) + F.col("at")
@@ -315,6 +343,13 @@ def set_components(docs: DataFrame, shingle: int = SHINGLE, alike: tuple[int, in
     labels = cells.select(F.col("fp").alias("node"), F.col("fp").alias("component")).limit(0)
     tested = labels.select(F.col("node").alias("fpa"), F.col("component").alias("fpb"))
     full, scratch = None, [blocks, cells]
+    if radius is not None:
+        pairs = _fingerprint_pairs(docs, signed, shingle, radius)
+        some = materialize(_full_sets(_texts_of(docs, unique, pairs), shingle), "sets-full")
+        links = materialize(_checked(pairs, some, alike, scratch), "sets-links")
+        labels = connected_components(links, "sets-links")
+        tested = tested.unionByName(pairs)
+        scratch += [pairs, some, links]
     nearest = NEAREST_ROUNDS
     while nearest >= 0:
         known = labels.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
@@ -322,9 +357,7 @@ def set_components(docs: DataFrame, shingle: int = SHINGLE, alike: tuple[int, in
         pairs = materialize(pairs.join(tested, ["fpa", "fpb"], "left_anti"), "sets-pairs")
         if full is None:
             # the first round names every set that has a candidate; one text of each
-            chosen = unique.join(_of_pairs(pairs), "fp", "left_semi").select("row")
-            texts = docs.select("row", "text").dropDuplicates(["row"]).join(chosen, "row", "left_semi")
-            full = materialize(_full_sets(texts, shingle), "sets-full")
+            full = materialize(_full_sets(_texts_of(docs, unique, pairs), shingle), "sets-full")
         links = materialize(_checked(pairs, full, alike, scratch), "sets-links")
         if links.isEmpty():
             nearest = min(nearest, 1)  # the last round is next, or was this one

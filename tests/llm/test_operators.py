@@ -437,3 +437,22 @@ def test_rows_without_or_with_shared_ids(spark, monkeypatch):
     got = simhash.near_duplicates(linked).collect()
     assert sorted((int(r.fingerprint, 16) & 255, r.component_id) for r in got if r.component_id) == [(0, 1), (7, 1), (63, 1)]
     assert sum(r.component_id is None for r in got) == 2
+
+
+def test_near_duplicates_of_pipeline_go_by_fingerprints_first(spark, monkeypatch):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(["x", *words]), " ".join([*words[:150], "y", *words[151:]]), " ".join(words[:60]), "quite another text than these", None]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    seen, own = [], simhash.near_links
+
+    def all_linked(unique, radius):
+        # false links, too: each is checked on the whole sets
+        seen.append((own(unique, radius).count(), unique.count()))
+        least = unique.agg(F.min("rep").alias("b"))
+        return unique.select(F.col("rep").alias("a")).crossJoin(least)
+
+    monkeypatch.setattr(simhash, "near_links", all_linked)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 3, 4, 5]
+    assert len(seen) == 1 and seen[0][1] >= 5
