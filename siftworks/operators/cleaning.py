@@ -78,26 +78,39 @@ def plain_text(c: Column) -> Column:
     return t.blank_to_null(F.regexp_replace(F.replace(c.cast("string"), F.lit("\0"), F.lit("")), r"(?U)^\s+|\s+$", ""))
 
 
+def _column(columns: set[str], name: str) -> Column:
+    return F.col(f"`{name}`") if name in columns else F.lit(None)
+
+
+def record_key(columns: set[str], url: Column) -> Column:
+    """p_id, else result_id, else the number that ends the url, of a record with these columns. An id beyond 32 bits is an error."""
+    whole = lambda c: F.when(F.trim(c.cast("string")).rlike(r"^[+-]?\d+$"), F.trim(c.cast("string")).cast("long"))
+    tail = F.nullif(F.regexp_extract(url, r"(?:^|/)(\d+)/*$", 1), F.lit("")).cast("long")
+    return F.coalesce(whole(_column(columns, "p_id")), whole(_column(columns, "result_id")), tail).cast("int")
+
+
+def entry_key() -> Column:
+    """The p_id that an entry's row will have: cleaning leaves result_id and url as they are."""
+    return record_key({"result_id"}, plain_text(F.col("url")))
+
+
 def record_to_row(records: DataFrame, *keep: str) -> DataFrame:
     """Cleaned records as table rows, and the columns ``keep``; p_id is null in an unusable one.
 
     The key is p_id, else result_id, else the number that ends the url. An id beyond 32 bits fails the whole load.
     """
     have = set(records.columns)
-    col = lambda n: F.col(f"`{n}`") if n in have else F.lit(None)
-    whole = lambda c: F.when(F.trim(c.cast("string")).rlike(r"^[+-]?\d+$"), F.trim(c.cast("string")).cast("long"))
+    col = lambda n: _column(have, n)
     # used several times: computed once
     records = records.select(
         "*", plain_text(col("url")).alias("_plain_url"), plain_text(col("date_added")).alias("_plain_added"), plain_text(col("program")).alias("_plain_program"),
         *[t.read_number(col(n).cast("string")).alias(f"_read_{n}") for n in t.NUMBERS],
     )
     url = F.col("_plain_url")
-    tail = F.nullif(F.regexp_extract(url, r"(?:^|/)(\d+)/*$", 1), F.lit("")).cast("long")
-    key = F.coalesce(whole(col("p_id")), whole(col("result_id")), tail)
     # the hyphenated spelling, where the column exists, even if its value is null
     standard = lambda n: plain_text(col(n.replace("_", "-") if n.replace("_", "-") in have else n))
     return records.select(
-        key.cast("int").alias("p_id"),
+        record_key(have, url).alias("p_id"),
         F.coalesce("_plain_program", plain_text(col("university"))).alias("program"),
         plain_text(col("comments")).alias("comments"),
         t.iso_date(F.col("_plain_added")).alias("date_added"),

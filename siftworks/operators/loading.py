@@ -19,11 +19,16 @@ ROW_SCHEMA = (
 
 def dedupe_first(batch: DataFrame, key: str, sequence: str) -> DataFrame:
     """Of rows with one key the one with the smallest ``sequence``. Rows with a null key all stay."""
+    return first_of_key(batch, key, sequence).unionByName(batch.filter(F.col(key).isNull()))
+
+
+def first_of_key(batch: DataFrame, key: str, sequence: str) -> DataFrame:
+    """Of rows with one key the one with the smallest ``sequence``. Rows with a null key go."""
     # an aggregate before the shuffle keeps a hot key small
     keyed = batch.filter(F.col(key).isNotNull())
     columns = [c for c in batch.columns if c != key]
     first = keyed.groupBy(key).agg(F.min_by(F.struct(*columns), sequence).alias("_row"))
-    return first.select(key, "_row.*").select(*batch.columns).unionByName(batch.filter(F.col(key).isNull()))
+    return first.select(key, "_row.*").select(*batch.columns)
 
 
 def insert_new(stored: DataFrame, batch: DataFrame, key: str = "p_id") -> DataFrame:

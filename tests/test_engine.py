@@ -210,6 +210,19 @@ def test_a_batch_that_failed_is_not_seen_and_tried_again(spark, tmp_path, monkey
     assert store.rows().count() == 3 and store.watermark() == 3
 
 
+def test_only_new_entries_are_cleaned(spark, tmp_path, monkeypatch):
+    store = inc.BatchStore(spark, str(tmp_path))
+    store.commit("loaded", cleaning.record_to_row(cleaning.clean_entries(_entries(spark, 3, 5))), None)
+    cleaned = []
+    monkeypatch.setattr(inc, "clean_entries", lambda entries, *keep: (cleaned.append(sorted((r["result_id"] for r in entries.collect()), key=str)), cleaning.clean_entries(entries, *keep))[1])
+    inc.apply_batch(store, _entries(spark, 2, 3, 5, 4, 4, 6), "a", since=2)
+    assert cleaned == [[4, 6]] and sorted(r["p_id"] for r in store.rows().collect()) == [3, 4, 5, 6]
+    # the key that an entry is dealt and judged by is that of its row
+    odd = _entries(spark, None, None, 7).selectExpr("result_id", "case arrival when 0 then ' https://x/result/9/ ' when 1 then 'https://x/none' else url end as url", "* except (result_id, url)")
+    inc.apply_batch(store, odd, "b")
+    assert sorted(r["p_id"] for r in store.rows().collect()) == [3, 4, 5, 6, 7, 9] and store.watermark() == 9
+
+
 def test_where_a_pull_starts(spark, tmp_path):
     store = inc.BatchStore(spark, str(tmp_path))
     stored = lambda: sorted(r["p_id"] for r in store.rows().collect())
