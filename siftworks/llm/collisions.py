@@ -9,7 +9,8 @@ others are verified with exact cosines. A query ends when its k-th best verified
 its windows stand for; at the largest radius all rows collide.
 
 First each query searches its own block, where it lies already. Its k-th score there bounds what other blocks
-have to beat; query and bound then visit the other blocks, which report only what reaches the bound.
+have to beat; query and bound then visit the other blocks, which report only what reaches the bound. A bound names the radius at which
+the search would end at the latest, so a visit opens that radius' windows at once: they hold all rows of the narrower ones.
 
 What grows faster than the input: queries are given as a part of the rows and each visits every block, so visits grow with queries times
 blocks. No pairs are written but verified ones that reach the query's bound.
@@ -43,6 +44,8 @@ MISS = 0.01
 #: Radii of the windows; the last one is beyond the largest distance of two unit vectors.
 RADII = tuple(0.2 * 1.15**i for i in range(17))
 BLOCK_ROWS = 8_192
+#: The bound of a query that has none yet, below any cosine.
+UNBOUNDED = -2.0
 _QUERIES = 256
 SEED = 12
 
@@ -78,36 +81,54 @@ class SortedArrays:
         self.vectors, self.norms = _unit_length(vectors)
         self.lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
         along = (self.vectors / self.norms[:, None]) @ self.lines
-        self.order = np.ascontiguousarray(np.argsort(along, axis=0).T.astype(np.int32))
+        self.order = np.ascontiguousarray(np.argsort(along, axis=0).T)
         self.sorted = np.take_along_axis(along.T, self.order, axis=1)
+        # single precision rules out rows that are clearly below a bound: a cosine of it is off by less than the margin
+        self.narrow = (self.vectors / self.norms[:, None]).astype(np.float32)
+        self.margin = (vectors.shape[1] + 8) * 2.0**-23
 
     def search(self, row: np.ndarray, vectors: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, places, scores) of the k nearest rows found for each query, and of those that tie with the last, none below its bound."""
         queries, norms = _unit_length(vectors)
         along = (queries / norms[:, None]) @ self.lines
         half = np.array([*RADII[:-1], np.inf]) * HALF_WIDTH
-        low = np.empty((len(queries), len(half), PROJECTIONS), dtype=np.int64)
-        high = np.empty_like(low)
-        for j in range(PROJECTIONS):
-            low[:, :, j] = np.searchsorted(self.sorted[j], along[:, j, None] - half, "left")
-            high[:, :, j] = np.searchsorted(self.sorted[j], along[:, j, None] + half, "right")
-        for q in range(len(queries)):
-            yield q, *self._one(row[q], queries[q], norms[q], bound[q], low[q], high[q], k)
-
-    def _one(self, row: int, query: np.ndarray, norm: float, bound: float, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        count = np.zeros(len(self.row), dtype=np.int64)
+        last = np.minimum(np.searchsorted([r * r for r in RADII], 2 - 2 * bound), len(RADII) - 1)
+        bounded = bound != UNBOUNDED
+        for some, levels in ((np.flatnonzero(~bounded), np.arange(len(RADII))[None]), (np.flatnonzero(bounded), last[bounded][:, None])):
+            low = np.empty((len(some), levels.shape[1], PROJECTIONS), dtype=np.int64)
+            high = np.empty_like(low)
+            for j in range(PROJECTIONS):
+                low[:, :, j] = np.searchsorted(self.sorted[j], along[some, j, None] - half[levels], "left")
+                high[:, :, j] = np.searchsorted(self.sorted[j], along[some, j, None] + half[levels], "right")
+            for i, q in enumerate(some.tolist()):
+                radii = [RADII[x] for x in levels[i % len(levels)]]
+                yield q, *self._one(row[q], queries[q], norms[q], bound[q], radii, low[i], high[i], k)
+
+    def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many of the windows each row lies in, counted by the rows in or out of them, whichever are fewer."""
+        rows = len(self.row)
+        windows = list(enumerate(zip(low.tolist(), high.tolist(), strict=True)))
+        if 2 * int((high - low).sum()) <= rows * PROJECTIONS:
+            return np.bincount(np.concatenate([self.order[j, a:b] for j, (a, b) in windows]), minlength=rows)
+        outside = [part for j, (a, b) in windows for part in (self.order[j, :a], self.order[j, b:])]
+        return PROJECTIONS - np.bincount(np.concatenate(outside), minlength=rows)
+
+    def _one(self, row: int, query: np.ndarray, norm: float, bound: float, radii: list[float], low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        narrow = (query / norm).astype(np.float32)
         waiting = self.row != row
         places, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for level, radius in enumerate(RADII):
+        for level, radius in enumerate(radii):
             if level == 0:
-                cuts = [(j, a, b) for j, (a, b) in enumerate(zip(low[0].tolist(), high[0].tolist(), strict=True))]
+                count = self._collisions(low[0], high[0])
             else:  # what the windows have gained on both sides
                 wide = zip(low[level].tolist(), low[level - 1].tolist(), high[level - 1].tolist(), high[level].tolist(), strict=True)
-                cuts = [cut for j, (a, b, c, d) in enumerate(wide) for cut in ((j, a, b), (j, c, d))]
-            count += np.bincount(np.concatenate([self.order[j, a:b] for j, a, b in cuts]), minlength=len(count))
+                cuts = [self.order[j, x:y] for j, (a, b, c, d) in enumerate(wide) for x, y in ((a, b), (c, d)) if x < y]
+                count += np.bincount(np.concatenate([*cuts, places[:0]]), minlength=len(count))
             found = np.flatnonzero(waiting & (count >= threshold()))
             if len(found):
                 waiting[found] = False
+                if bound != UNBOUNDED:
+                    found = found[self.narrow[found] @ narrow >= bound - self.margin]
                 # summed row by row: equal vectors have equal scores
                 score = (self.vectors[found] * query).sum(axis=1) / (self.norms[found] * norm)
                 good = score >= bound
@@ -190,7 +211,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", v
     blocks = max(1, -(-kept.count() // block_rows))
     placed = kept.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     id_type = dict(rows.dtypes)[id]
-    unbounded = F.lit(-2.0)
+    unbounded = F.lit(UNBOUNDED)
     own = placed.select("block", F.lit(0).alias("role"), "row", "id", unbounded.alias("bound"), "v")
     asked = placed.filter("asks").select("block", F.lit(1).alias("role"), "row", "id", unbounded.alias("bound"), "v")
     home = materialize(_search(own.unionByName(asked), id_type, k), "nearest-home")

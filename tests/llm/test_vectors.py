@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,19 @@ def test_codes_sql(table, spark):
     want = db.sql(queries.op13_sql()).fetchall()
     got = vector_codes.code_digests(table.filter("vec_id is not null"))
     assert sorted(want) == sorted(map(tuple, got.select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect()))
+
+
+def test_a_bounded_visit_opens_one_radius(monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((1500, 24))
+    vectors[700:720] = vectors[:20]  # ties
+    block = collisions.SortedArrays(np.arange(1500), pa.array(np.arange(1500)), vectors)
+    asked, rows = vectors[:20] + 0.3 * rng.standard_normal((20, 24)), np.arange(5000, 5020)
+    free = {q: (places, scores) for q, places, scores in block.search(rows, asked, np.full(20, collisions.UNBOUNDED), 5)}
+    bound = np.array([free[q][1].min() for q in range(20)])
+    calls, counted = [], np.bincount
+    monkeypatch.setattr(collisions.np, "bincount", lambda *args, **kwargs: (calls.append(1), counted(*args, **kwargs))[1])
+    held = {q: (places, scores) for q, places, scores in block.search(rows, asked, bound, 5)}
+    assert len(calls) == 20 and held.keys() == free.keys()
+    for q, (places, scores) in held.items():
+        assert dict(zip(places.tolist(), scores.tolist())) == dict(zip(free[q][0].tolist(), free[q][1].tolist()))
