@@ -3,7 +3,7 @@
 A text is cut into pieces by the vocabulary's pattern. Each different piece starts as one row per byte
 (piece, position, token, next position, next token). A recursive query joins neighbouring tokens with the merge table,
 contracts each piece's leftmost pair of minimum rank, and ends at the fixpoint, when no neighbours merge. Decoding joins
-token rows with the vocabulary and concatenates their bytes in an ordered aggregation. Pieces encoded lately are remembered
+token rows with the vocabulary, in order, and joins their bytes up to the end of each text. Pieces encoded lately are remembered
 in twice ``RECENT_BYTES`` a worker, so the recursion sees few rows; texts are streamed and nothing is shuffled.
 
 A worker holds the vocabulary, what it remembers, the different words of ``BATCH_BYTES`` of text (or of one longer text)
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # public_tokenizers.PATTERN always cuts before a space that a visible character follows, whatever stands before it.
 _LOOSE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+# It takes a run of letters whole, with one space before it.
+_LETTERS = re.compile(r" ?[A-Za-z]+").fullmatch
 
 _STEP = """
 with recursive state(w, pos, tok, after, following, live) as (
@@ -99,8 +102,7 @@ select w, tok from state where tok is not null order by w, pos
 """
 
 _DECODE = """
-select s, string_agg(hex, '' order by pos) as hex
-from tokens join vocabulary using (tok) group by s
+select coalesce(hex, '') as hex from tokens left join vocabulary using (tok) order by pos
 """
 
 
@@ -262,7 +264,7 @@ class Codec:
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each word, which is one piece of the pattern or several."""
         found = self.recent.find(words)
-        cuts = {w: self.pattern.findall(w) for w in words - found.keys()}
+        cuts = {w: [w] if self.cuts_at_spaces and _LETTERS(w) else self.pattern.findall(w) for w in words - found.keys()}
         wanted = set().union(*cuts.values())
         pieces = self.recent.find(wanted)
         todo = list(wanted - pieces.keys())
@@ -297,13 +299,14 @@ class Codec:
                 size += len(sequences[stop])
                 stop += 1
             some = sequences[at:stop]
-            which = np.repeat(np.arange(len(some), dtype=np.int32), [len(e) // 4 for e in some])
             tok = np.frombuffer(b"".join(some), dtype="<u4").astype(np.int32)
-            self._table("tokens", s=which, pos=np.arange(len(which), dtype=np.int32), tok=tok)
+            self._table("tokens", pos=np.arange(len(tok), dtype=np.int32), tok=tok)
             self._limit(DUCKDB_BYTES + DUCKDB_POSITION_BYTES * max(0, len(tok) - DECODE_TOKENS))
-            found = self.db.sql(_DECODE).to_arrow_table()
-            plain = dict(zip(found["s"].to_pylist(), found["hex"].to_pylist(), strict=True))
-            yield from (bytes.fromhex(plain.get(i, "")) for i in range(len(some)))
+            found = self.db.sql(_DECODE).to_arrow_table()["hex"].combine_chunks()
+            # the tokens of all sequences lie one after another: joined up to where each sequence ends
+            ends = np.cumsum([0, *(len(e) // 4 for e in some)]).astype(np.int32)
+            plain = pc.binary_join(pa.ListArray.from_arrays(ends, found), "")
+            yield from map(bytes.fromhex, plain.to_pylist())
             at = stop
 
 

@@ -167,6 +167,17 @@ def test_bpe_odd_pieces(tik):
     assert [x.decode() for x in codec.decode_sequences(encoded)] == texts
 
 
+def test_bpe_plain_words_need_no_pattern(tik):
+    codec, seen = bpe.Codec(tik[0], P.PATTERN), []
+    pattern = codec.pattern
+    codec.pattern = type("Counting", (), {"findall": staticmethod(lambda w: (seen.append(w), pattern.findall(w))[1])})
+    texts = ["Plain words alone it's 12ab", "", "caf\u00e9 x", "zz  top", "a\n"]
+    ids = list(codec.encode_texts(texts))
+    assert not [w for w in seen if re.fullmatch(" ?[A-Za-z]+", w)] and list(codec.decode_sequences([*ids, b""])) == [t.encode() for t in [*texts, ""]]
+    known = b"".join(i.to_bytes(4, "little") for i in (tik[0][b"a"], len(tik[0]) + 9, tik[0][b"b"]))
+    assert list(codec.decode_sequences([known, known])) == [b"ab", b"ab"]  # ids beyond the vocabulary stand for nothing
+
+
 def test_bpe_recursions_agree(tik):
     """The same ids whichever recursion takes a piece, at the switch and away from it."""
     rng = np.random.default_rng(5)
