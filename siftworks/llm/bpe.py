@@ -1,9 +1,10 @@
-"""Byte-level BPE by recursive queries: encoding and decoding inside each partition with DuckDB.
+"""Byte-level BPE by recursive queries: encoding inside each partition with DuckDB.
 
-A text is cut into pieces by the vocabulary's pattern. Each different piece starts as one row per byte
+A text is cut into words and these into pieces by the vocabulary's pattern. Each different piece starts as one row per byte
 (piece, position, token, next position, next token). A recursive query joins neighbouring tokens with the merge table,
-contracts each piece's leftmost pair of minimum rank, and ends at the fixpoint, when no neighbours merge. Decoding joins
-token rows with the vocabulary, in order, and joins their bytes up to the end of each text. Pieces encoded lately are remembered
+contracts each piece's leftmost pair of minimum rank, and ends at the fixpoint, when no neighbours merge. The different words of
+``BATCH_BYTES`` are coded as an Arrow dictionary, so that Python sees each once; their ids are gathered in the texts' order.
+Decoding gathers each id's bytes from the vocabulary in the same way. Pieces encoded lately are remembered
 in twice ``RECENT_BYTES`` a worker, so the recursion sees few rows; texts are streamed and nothing is shuffled.
 
 A worker holds the vocabulary, what it remembers, the different words of ``BATCH_BYTES`` of text (or of one longer text)
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -101,10 +103,6 @@ with recursive state(w, pos, tok) using key (w, pos) as (
 select w, tok from state where tok is not null order by w, pos
 """
 
-_DECODE = """
-select coalesce(hex, '') as hex from tokens left join vocabulary using (tok) order by pos
-"""
-
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: lines of base64 bytes and a rank."""
@@ -122,13 +120,14 @@ class Recent:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def find(self, keys: set[str]) -> dict[str, bytes]:
-        """Those of the keys that are remembered."""
-        found = {k: self.new[k] for k in keys & self.new.keys()}
-        again = {k: self.old[k] for k in (keys & self.old.keys()) - found.keys()}
-        for key, value in again.items():
-            self.put(key, value)
-        return found | again
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        """What is remembered of each key, else None."""
+        found = list(map(self.new.get, keys))
+        again = [(i, v) for i, x in enumerate(found) if x is None and (v := self.old.get(keys[i])) is not None]
+        for i, value in again:
+            found[i] = value
+            self.put(keys[i], value)
+        return found
 
     def put(self, key: str, value: bytes) -> None:
         if self.size > self.limit:
@@ -138,7 +137,7 @@ class Recent:
 
 
 class Codec:
-    """One process's DuckDB connection with the merge table and the vocabulary, and what it remembers."""
+    """One process's DuckDB connection with the merge table, the vocabulary, and what is remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, recent_bytes: int = RECENT_BYTES, long_piece: int = LONG_PIECE):
         import duckdb
@@ -172,8 +171,11 @@ class Codec:
         # pairs of bytes that some token holds side by side; between others no merge can happen
         self.joined = np.zeros(1 << 16, dtype=bool)
         self.joined[[t[i] << 8 | t[i + 1] for t in ranks for i in range(len(t) - 1)]] = True
-        tokens = sorted(ranks.items(), key=lambda x: x[1])
-        self._table("vocabulary", tok=np.array([r for _, r in tokens], np.int32), hex=pa.array([t.hex() for t, _ in tokens]))
+        # by id; the last entry is for ids beyond the vocabulary, which stand for nothing
+        vocabulary = [b""] * (max(ranks.values()) + 2)
+        for token, rank in ranks.items():
+            vocabulary[rank] = token
+        self.vocabulary = pa.array(vocabulary, pa.large_binary())
 
     def _limit(self, size: int) -> None:
         self.db.execute(f"set memory_limit = '{size >> 20}MiB'")
@@ -255,39 +257,45 @@ class Codec:
                 out[i] = ids
         return out
 
-    def words(self, text: str) -> list[str]:
-        """The text cut before single spaces that a visible character follows; these spaces are left out. One word if the pattern may join across them."""
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The texts cut before single spaces that a visible character follows, these spaces left out, and where each text begins. One word a text if the pattern may join across them."""
         if not self.cuts_at_spaces:
-            return [text]
-        return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each word, which is one piece of the pattern or several."""
-        found = self.recent.find(words)
-        cuts = {w: [w] if self.cuts_at_spaces and _LETTERS(w) else self.pattern.findall(w) for w in words - found.keys()}
-        wanted = set().union(*cuts.values())
-        pieces = self.recent.find(wanted)
-        todo = list(wanted - pieces.keys())
-        for p, ids in zip(todo, self.encode_pieces(todo), strict=True):
+            return pa.array(texts, pa.large_string()), np.arange(len(texts))
+        if any(map(_LOOSE.search, texts)):
+            cut = [_CUT.split(t) for t in texts]
+            return pa.array(itertools.chain.from_iterable(cut), pa.large_string()), np.cumsum([0, *map(len, cut)])[:-1]
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        return cut.values, cut.offsets.to_numpy()[:-1]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the different words, which are one piece of the pattern or several."""
+        out = self.recent.find(words)
+        todo = [i for i, ids in enumerate(out) if ids is None]
+        cuts = [[w] if self.cuts_at_spaces and _LETTERS(w) else self.pattern.findall(w) for w in map(words.__getitem__, todo)]
+        wanted = list(dict.fromkeys(itertools.chain.from_iterable(cuts)))
+        pieces = dict(zip(wanted, self.recent.find(wanted), strict=True))
+        new = [p for p, ids in pieces.items() if ids is None]
+        for p, ids in zip(new, self.encode_pieces(new), strict=True):
             pieces[p] = ids
             self.recent.put(p, ids)
-        found.update((w, pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])) for w, parts in cuts.items())
-        return found
+        for i, parts in zip(todo, cuts, strict=True):
+            out[i] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        return out
 
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        heads, rest = set(), set()
-        for text in texts:
-            first, *others = self.words(text)
-            heads.add(first)
-            rest.update(others)
+        words, starts = self.words(texts)
+        coded = words.dictionary_encode()
+        codes, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         # all words but the first of a text begin with the space before them
-        inner = {w: " " + w for w in rest}
-        encoded = self.encode_words(heads.union(inner.values()))
-        inner = {w: encoded[full] for w, full in inner.items()}
-        for text in texts:
-            first, *others = self.words(text)
-            yield encoded[first] + b"".join([inner[w] for w in others])
+        heads, first = np.unique(codes[starts], return_inverse=True)
+        inner = np.flatnonzero(np.bincount(codes, minlength=len(different)) > np.bincount(codes[starts], minlength=len(different)))
+        ids = self.encode_words([*(different[i] for i in heads.tolist()), *(" " + different[i] for i in inner.tolist())])
+        place = np.zeros(len(different), dtype=np.int64)
+        place[inner] = len(heads) + np.arange(len(inner))
+        rows = place[codes]
+        rows[starts] = first
+        return _gather(pa.array(ids, pa.large_binary()), rows, starts)
 
     def decode_sequences(self, sequences: list[bytes]) -> Iterator[bytes]:
         """The bytes that each sequence of ids stands for."""
@@ -299,17 +307,21 @@ class Codec:
                 size += len(sequences[stop])
                 stop += 1
             some = sequences[at:stop]
-            tok = np.frombuffer(b"".join(some), dtype="<u4").astype(np.int32)
-            self._table("tokens", pos=np.arange(len(tok), dtype=np.int32), tok=tok)
-            self._limit(DUCKDB_BYTES + DUCKDB_POSITION_BYTES * max(0, len(tok) - DECODE_TOKENS))
-            found = self.db.sql(_DECODE).to_arrow_table()["hex"].combine_chunks()
-            # the tokens of all sequences lie one after another: joined up to where each sequence ends
-            ends = np.cumsum([0, *(len(e) // 4 for e in some)]).astype(np.int32)
-            plain = pc.binary_join(pa.ListArray.from_arrays(ends, found), "")
-            yield from map(bytes.fromhex, plain.to_pylist())
+            tok = np.frombuffer(b"".join(some), dtype="<u4")
+            starts = np.cumsum([0, *(len(x) // 4 for x in some)])[:-1]
+            yield from _gather(self.vocabulary, np.minimum(tok, len(self.vocabulary) - 1), starts)
             at = stop
 
 
+def _gather(values: pa.Array, rows: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+    """The values of the rows one after another, from each start to the next."""
+    taken = values.take(pa.array(rows))
+    ends = np.append(0, np.cumsum(pc.binary_length(taken).to_numpy()))[np.append(starts, len(rows))].tolist()
+    data = memoryview(taken.buffers()[2] or b"")
+    for s, e in itertools.pairwise(ends):
+        yield bytes(data[s:e])
+
+
 _codecs: dict[int, Codec] = {}
 
 

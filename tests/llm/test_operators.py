@@ -178,6 +178,30 @@ def test_bpe_plain_words_need_no_pattern(tik):
     assert list(codec.decode_sequences([known, known])) == [b"ab", b"ab"]  # ids beyond the vocabulary stand for nothing
 
 
+def test_bpe_queries_only_pieces_to_merge(tik):
+    """Words that are tokens, and all decoding, need no query; each different word of a batch is encoded once."""
+    codec, seen = bpe.Codec(tik[0], P.PATTERN), []
+    codec.db, encode_words = None, codec.encode_words
+    codec.encode_words = lambda words: (seen.append(sorted(words)), encode_words(words))[1]
+    # words at a text's head only, behind it only and at both; with and without runs of spaces
+    for texts in (["the cat the cat the", "", "cat", "of the of"], ["the  cat", "cat the ", " ", "the\0 of"], [""], []):
+        encoded = list(codec.encode_texts(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoded] == [tik[1].encode_ordinary(t) for t in texts]
+        assert list(codec.decode_sequences(encoded)) == [t.encode() for t in texts]
+    assert seen[0] == ["", " cat", " of", " the", "cat", "of", "the"]
+
+
+def test_bpe_remembers_what_it_finds():
+    recent = bpe.Recent(10 * bpe.Recent.OVERHEAD)
+    keys = [f"k{i}" for i in range(11)]
+    for k in keys:
+        recent.put(k, k.encode())
+    for _ in range(5):  # every lookup puts all keys anew, with a turnover midway
+        assert recent.find(keys) == [k.encode() for k in keys]
+        recent.put("other", b"")
+    assert recent.find(["none", "other"]) == [None, b""]
+
+
 def test_bpe_recursions_agree(tik):
     """The same ids whichever recursion takes a piece, at the switch and away from it."""
     rng = np.random.default_rng(5)
