@@ -212,3 +212,18 @@ def test_a_cache_is_a_folder_or_a_table(spark, tmp_path):
     assert found.collect() == pages.reparse_pages(spark, str(tmp_path)).collect() and [r["source_page_url"] for r in found.collect()] == ["https://h/1"]
     # each page is parsed once
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_equal_cached_pages_are_parsed_once(spark):
+    def page(head, html):
+        return f"<!-- source-url: https://h/{head} fetched-at: 2026-09-0{head}T00:00:00+00:00 -->\n{html}"
+
+    other = PAGE.replace("/result/3", "/result/4")
+    rows = [("c", page(1, PAGE)), ("b", page(2, PAGE)), ("d", PAGE), ("e", page(4, other)), ("f", page(5, other + " ")), ("g", None), ("h", None)]
+    files = spark.createDataFrame(rows, "file string, value string").withColumn("modified", F.current_timestamp())
+    one = pages.first_copies(pages.cached_pages(files))
+    assert sorted(r["file"] for r in one.collect()) == ["b", "e", "f", "g"]
+    # no link is asked for
+    assert "links" not in pages.parse_pages(one, "file", with_links=False).columns
+    got = sorted((r["result_id"], r["source_page_url"], r["scraped_at"], r["school_text"]) for r in pages.reparse_files(files).collect())
+    assert got == [(3, "https://h/2", "2026-09-02T00:00:00+00:00", "S"), (4, "https://h/4", "2026-09-04T00:00:00+00:00", "S")]
