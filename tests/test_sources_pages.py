@@ -227,3 +227,13 @@ def test_equal_cached_pages_are_parsed_once(spark):
     assert "links" not in pages.parse_pages(one, "file", with_links=False).columns
     got = sorted((r["result_id"], r["source_page_url"], r["scraped_at"], r["school_text"]) for r in pages.reparse_files(files).collect())
     assert got == [(3, "https://h/2", "2026-09-02T00:00:00+00:00", "S"), (4, "https://h/4", "2026-09-04T00:00:00+00:00", "S")]
+
+
+def test_elements_of_one_match():
+    badge = '<div class="tw-inline-flex">'
+    html = f"<TABLE><tr><td>a</td><td> b &amp; c </td><td>d<td>e</TD></td><td>f</td><td>{badge}x</div>{badge}y</div>{badge}</div><div>z</div><a href='/result/5'>s</a><a href='/q'>t</a></td></tr><tr class='tw-border-none'><td>{badge}1</div>{badge}2</span>3</div><p>p</p><p></p><p>q<br>r</p></table>{badge}no</div>"
+    page = pages.parse_page(html)
+    assert ["".join(c["texts"]) for c in page.rows[0]["cells"]] == ["a", " b & c ", "de", "e", "f", "xyzst"]
+    assert pages._entries(page) == [(0, 5, "a", "b & c", None, "de", "e", ["1", "23"], "p\nqr")]
+    assert [(href, "".join(texts)) for href, texts, _ in page.links] == [("/result/5", "s"), ("/q", "t")]
+    assert pages._entries(pages.parse_page(html, False)) == pages._entries(page) and not pages.parse_page(html, False).links
